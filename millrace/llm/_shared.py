@@ -36,7 +36,11 @@ class Workspace:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
+        return self.read(name, df)
+
+    def read(self, name: str, like: DataFrame) -> DataFrame:
+        """The table once more, as a DataFrame of its own (for joins with itself)."""
+        return self.spark.read.schema(like.schema).parquet(self.path(name))
 
     def drop(self, name: str = "") -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
