@@ -113,3 +113,15 @@ def components(ws: Workspace, edges: DataFrame, name: str, max_rounds: int = 60)
         raise RuntimeError(f"components: {max_rounds} rounds did not contract the graph")
     least = pointer.groupBy("leader").agg(F.min("node").alias("component"))
     return pointer.join(least, "leader").select("node", "component")
+
+
+#: So many ids are broadcast (8 MB); more are joined by shuffling.
+BROADCAST_IDS = 1_000_000
+
+
+def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose doc_id isn't among the ids. Texts stay in place if the ids, which are counted, are few; else both sides are shuffled."""
+    ws = Workspace(docs.sparkSession)
+    ids = ws.save(ids.select(F.col("doc_id").alias("_dropped")).where("_dropped is not null").distinct(), "ids")
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["_dropped"], "left_anti")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, hmm, media, mixing, simhash, toxicity, warc
+from millrace.llm import bpe, hmm, media, mixing, quality, simhash, toxicity, warc
 from millrace.llm._shared import table
 
 
@@ -24,6 +24,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op2(spark, table(spark, sf_dir, "pages"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op5(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_warc, op5_mixing, op6_simhash, op7_bpe, op8_matroska, op10_hmm)}
+    return {f.__name__: f for f in (op1_toxicity, op2_warc, op3_quality, op5_mixing, op6_simhash, op7_bpe, op8_matroska, op10_hmm)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import Workspace, batch_rows, components
+from millrace.llm._shared import Workspace, batch_rows, components, drop_ids
 
 #: Words of a shingle, differing bits of a link.
 SHINGLE, RADIUS = 4, 4
@@ -169,5 +169,4 @@ def op6(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The documents whose doc_id is the smallest of their group; rows without a doc_id stay."""
-    drop = near_duplicates(docs, k, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(drop, docs.doc_id == F.col("_dropped"), "left_anti")
+    return drop_ids(docs, near_duplicates(docs, k, radius).where("doc_id <> component_id").select("doc_id"))
