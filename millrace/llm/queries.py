@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, hmm, media, mixing, quality, simhash, toxicity, warc
+from millrace.llm import bpe, hmm, media, mixing, pii, quality, simhash, toxicity, warc
 from millrace.llm._shared import table
 
 
@@ -44,12 +44,16 @@ def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op9(table(spark, sf_dir, "documents"))
+
+
 def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.op10(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_warc, op3_quality, op5_mixing, op6_simhash, op7_bpe, op8_matroska, op10_hmm)}
+    return {f.__name__: f for f in (op1_toxicity, op2_warc, op3_quality, op5_mixing, op6_simhash, op7_bpe, op8_matroska, op9_pii, op10_hmm)}
 
 
 def oracle_sql() -> dict[str, str]:
