@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, hmm, media, mixing, pii, quality, simhash, toxicity, warc
+from millrace.llm import bpe, hmm, media, mixing, neighbours, pii, quality, simhash, toxicity, warc
 from millrace.llm._shared import table
 
 
@@ -28,6 +28,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op5(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_warc, op3_quality, op5_mixing, op6_simhash, op7_bpe, op8_matroska, op9_pii, op10_hmm)}
+    return {f.__name__: f for f in (op1_toxicity, op2_warc, op3_quality, op4_nn_descent, op5_mixing, op6_simhash, op7_bpe, op8_matroska, op9_pii, op10_hmm)}
 
 
 def oracle_sql() -> dict[str, str]:
