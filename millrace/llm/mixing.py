@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import Workspace
+from millrace.llm._shared import BROADCAST_IDS, Workspace
 
 WEIGHTS = (3, 1, 2)
 #: Change of weight over the curriculum by source in turn: from 1 - ramp to 1 + ramp times its mean.
@@ -119,3 +119,17 @@ SELECT doc_id, size, source_size, target,
             ELSE (sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * u) - (1 - ramp)) / (2 * ramp) END, 9) END AS position
 FROM p
 """
+
+
+def mixed(docs: DataFrame, most: int = MOST) -> DataFrame:
+    """The documents of the mix with all their columns, each copy a row of its own, range-sorted by its position.
+
+    A row is told from others by doc_id and source; rows that repeat both each get the first ``most`` places of
+    them all. Places are few bytes a document: they are broadcast if counted to be few, else both sides are shuffled.
+    """
+    ws = Workspace(docs.sparkSession)
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit("\0")))
+    drawn = mix(docs, most=most).select(key.alias("_key"), F.explode("positions").alias("_at")).where("_at is not null")
+    drawn = ws.save(drawn.groupBy("_key").agg(F.slice(F.sort_array(F.collect_set("_at")), 1, most).alias("_places")), "places")
+    rows = docs.withColumn("_key", key).join(F.broadcast(drawn) if drawn.count() <= BROADCAST_IDS else drawn, "_key")
+    return rows.withColumn("_at", F.explode("_places")).orderBy("_at", "doc_id").select(*docs.columns)
