@@ -1,25 +1,20 @@
-"""The registered queries and, for each, the SQL that gives the same rows."""
+"""All registered queries and their SQL twins."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-SQL: dict[str, str] = {
-    "group_by": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_quantity), 4) AS avg_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem GROUP BY l_returnflag, l_linestatus",
-}
-
-
-def group_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return df.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.avg("l_quantity"), 4).alias("avg_qty"), F.round(F.sum(F.expr("l_extendedprice * (1 - l_discount)")), 2).alias("revenue"))
+from millrace.functions import scalars, vectors  # noqa: F401  these modules register their queries
+from millrace.operators import aggregates, joins, scans, windows  # noqa: F401
+from millrace.plans.registry import ORACLE, QUERIES
+from millrace.streaming import events  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"group_by": group_by}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL
+    return dict(ORACLE)
