@@ -33,20 +33,20 @@ FIRST_ROWS, FIRST_PASSES = 1000, 12
 CHUNK_WORDS, CHUNK_DISTINCT, PIECE = 1_000_000, 250_000, 512
 ALPHA = 0.1
 
-_ENCODED = "chunk string, doc_id long, held_out boolean, ids binary, word binary, idx int, n long"
+_ENCODED = "chunk long, doc_id long, held_out boolean, ids binary, word binary, idx int, n long"
 
 
 def encode(docs: DataFrame) -> DataFrame:
     """Rows of two kinds: a document as numbers of words (ids), and a chunk's words with their numbers and training counts."""
     batch_rows(docs.sparkSession, 1000)
-    kinds = [pa.string(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
     names = [c.split()[0] for c in _ENCODED.split(", ")]
 
     def rows(*columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, place, total, counts = uuid.uuid4().hex, {}, 0, np.zeros(0, np.int64)
+        chunk, place, total, counts = uuid.uuid4().int >> 65, {}, 0, np.zeros(0, np.int64)
 
         def texts() -> pa.RecordBatch:
             n = len(ids)
@@ -62,7 +62,7 @@ def encode(docs: DataFrame) -> DataFrame:
                 if total > CHUNK_WORDS or len(place) > CHUNK_DISTINCT:
                     yield texts()
                     yield words()
-                    chunk, place, total, ids, keys, counts = uuid.uuid4().hex, {}, 0, [], [], np.zeros(0, np.int64)
+                    chunk, place, total, ids, keys, counts = uuid.uuid4().int >> 65, {}, 0, [], [], np.zeros(0, np.int64)
                 own = (text.as_py() or "").encode().lower().split()
                 x = np.fromiter([place.setdefault(w, len(place)) for w in own], np.int32, len(own))
                 if len(place) > len(counts):
@@ -239,7 +239,10 @@ def score(docs: DataFrame, states: int = STATES, passes: int = PASSES) -> DataFr
     coded = ws.save(coded, "coded")
     for name in ("encoded", "counts", "classed"):
         ws.drop(name)
-    first = coded.where("not held_out").orderBy(F.xxhash64("doc_id"), "doc_id", "classes").select("classes").limit(FIRST_ROWS).collect()
+    rank = F.xxhash64("doc_id")
+    hashes = [r[0] for r in coded.where("not held_out").select(rank.alias("h")).orderBy("h").limit(FIRST_ROWS).collect()]
+    first = coded.where("not held_out").where(rank <= hashes[-1]).select(rank.alias("h"), "classes").collect() if hashes else []
+    first = [r[1:] for r in sorted(map(tuple, first))[:FIRST_ROWS]]
     m = first_guess([np.frombuffer(r[0], np.uint16) for r in first], share, states)
     for _ in range(passes):
         m = train_pass(coded, m, share)
