@@ -55,18 +55,20 @@ def search(df: DataFrame, column: str, vector: list[float], k: int, metric: str
     return found.orderBy("_distance", *([tie] if tie else [])).limit(k)
 
 
-#: The SQL functions of a session; the operators <->, <#> and <=> are rewritten to them.
+#: The distances as SQL text of two operands. The engine writes them out, as Spark has its own SQL functions not in every clause.
+_DOT = "aggregate(zip_with({a}, {b}, (x, y) -> double(x) * double(y)), 0D, (s, v) -> s + v)"
+_SAME = "if(size({a}) <> size({b}), raise_error('vectors differ in dimension'), {body})"
 FUNCTIONS = {
-    "l2_distance": "sqrt(aggregate(zip_with(a, b, (x, y) -> (double(x) - double(y)) * (double(x) - double(y))), 0D, (s, v) -> s + v))",
-    "dot_product": "aggregate(zip_with(a, b, (x, y) -> double(x) * double(y)), 0D, (s, v) -> s + v)",
-    "cosine_distance": f"1 - aggregate(zip_with(a, b, (x, y) -> double(x) * double(y)), 0D, (s, v) -> s + v) / greatest(sqrt(aggregate(a, 0D, (s, v) -> s + double(v) * double(v))) * sqrt(aggregate(b, 0D, (s, v) -> s + double(v) * double(v))), {EPSILON}D)",
+    "l2_distance": "sqrt(aggregate(zip_with({a}, {b}, (x, y) -> (double(x) - double(y)) * (double(x) - double(y))), 0D, (s, v) -> s + v))",
+    "dot_product": _DOT,
+    "cosine_distance": f"1 - {_DOT} / greatest(sqrt({_DOT.replace('{b}', '{a}')}) * sqrt({_DOT.replace('{a}', '{b}')}), {EPSILON}D)",
 }
 
 
-def register(spark) -> None:
-    """Defines the three distances as SQL functions of a session; vectors of different dimension are an error."""
-    for name, body in FUNCTIONS.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(a ARRAY<FLOAT>, b ARRAY<FLOAT>) RETURNS DOUBLE RETURN IF(size(a) <> size(b), raise_error('vectors differ in dimension'), {body})")
+def written_out(name: str, a: str, b: str) -> str:
+    """A call of one of the functions as an expression; vectors of different dimension are an error."""
+    body = FUNCTIONS[name].format(a=a, b=b)
+    return f"({_SAME.format(a=a, b=b, body=body)})"
 
 
 def _query(d: int = 64) -> list[float]:

@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from millrace.plans.registry import Tables, query
 
 C = F.col
-BY = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-RUN = BY.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def by():
+    return Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
 
 
 @query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders")
 def row_number(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", F.row_number().over(BY).cast("long").alias("rn"))
+    return t.orders.select("o_orderkey", F.row_number().over(by()).cast("long").alias("rn"))
 
 
 @query("SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS rk, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS dr FROM part")
@@ -36,12 +38,12 @@ def percent_cume(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderkey, lag(o_totalprice) OVER w AS prev, lead(o_orderkey, 2, -1) OVER w AS next2 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
 def lag_lead(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", F.lag("o_totalprice").over(BY).alias("prev"), F.lead("o_orderkey", 2, -1).over(BY).alias("next2"))
+    return t.orders.select("o_orderkey", F.lag("o_totalprice").over(by()).alias("prev"), F.lead("o_orderkey", 2, -1).over(by()).alias("next2"))
 
 
 @query("SELECT o_orderkey, first_value(o_orderkey) OVER w AS f, last_value(o_orderkey) OVER w AS l, nth_value(o_orderkey, 2) OVER w AS n2 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
 def first_last_nth(t: Tables) -> DataFrame:
-    w = BY.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    w = by().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return t.orders.select("o_orderkey", F.first("o_orderkey").over(w).alias("f"), F.last("o_orderkey").over(w).alias("l"), F.nth_value("o_orderkey", 2).over(w).alias("n2"))
 
 
@@ -53,12 +55,13 @@ def ignore_nulls(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderkey, round(sum(o_totalprice) OVER w, 2) AS s, count(*) OVER w AS n, max(o_totalprice) OVER w AS m FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 def running_sum_rows(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", F.round(F.sum("o_totalprice").over(RUN), 2).alias("s"), F.count("*").over(RUN).alias("n"), F.max("o_totalprice").over(RUN).alias("m"))
+    w = by().rowsBetween(Window.unboundedPreceding, 0)
+    return t.orders.select("o_orderkey", F.round(F.sum("o_totalprice").over(w), 2).alias("s"), F.count("*").over(w).alias("n"), F.max("o_totalprice").over(w).alias("m"))
 
 
 @query("SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 4) AS a FROM orders")
 def moving_avg_rows(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", F.round(F.avg("o_totalprice").over(BY.rowsBetween(-2, 1)), 4).alias("a"))
+    return t.orders.select("o_orderkey", F.round(F.avg("o_totalprice").over(by().rowsBetween(-2, 1)), 4).alias("a"))
 
 
 @query("SELECT p_partkey, CAST(sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS BIGINT) AS s FROM part")

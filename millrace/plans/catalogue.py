@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.functions import scalars, vectors  # noqa: F401  these modules register their queries
 from millrace.operators import aggregates, joins, scans, windows  # noqa: F401
+from millrace.plans import stateful  # noqa: F401
 from millrace.plans.registry import ORACLE, QUERIES
 from millrace.streaming import events  # noqa: F401
 
