@@ -108,16 +108,22 @@ def revealing_terms(docs: DataFrame, based: DataFrame, ws: Workspace) -> DataFra
     # each text counts once for a pair, each wording once as support
     counted = near.select("entity", "term", "doc", "copies").distinct().groupBy("entity", "term").agg(F.sum("copies").alias("both"))
     support = pairs.groupBy("entity", "n_entity", "term").agg(F.count("*").alias("support"), F.count_distinct("doc").alias("texts")).where(f"support >= {LEAST_SUPPORT} and texts >= {LEAST_SUPPORT}")
-    pairs = ws.save(support.join(counted, ["entity", "term"]), "pairs")
+    # a term is in all documents at least as often as in those with entities, which bounds what it can tell before the corpus is read
+    inside = based.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_inside"))
+    n = docs.count()
+    worth = F.greatest(F.log2(F.lit(float(max(n, 2))) / F.col("n_entity")), F.lit(1e-9))
+    share = lambda p: 1 + F.log2(p) / worth
+    most = F.col("both") / F.col("n_inside")
+    pairs = support.join(counted, ["entity", "term"]).join(inside, "term").where((most >= LEAST_P) & (share(most) >= GENERALISE)).drop("n_inside")
+    pairs = ws.save(pairs, "pairs")
     wanted = ws.save(pairs.select("term").distinct(), "terms")
+    if wanted.isEmpty():
+        return ws.save(wanted.withColumn("share", F.lit(0.0)), "revealing")
     few = wanted.count() <= BROADCAST_IDS // 10
     every = docs.select(F.explode(terms_of(F.col("text"))).alias("term")).join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
     every = every.groupBy("term").agg(F.count("*").alias("n_term"))
-    n = docs.count()
     p = F.col("both") / F.col("n_term")
-    worth = F.log2(F.lit(float(max(n, 2))) / F.col("n_entity"))
-    share = 1 + F.log2(p) / F.greatest(worth, F.lit(1e-9))
-    told = pairs.join(every, "term").where(p >= LEAST_P).select("term", share.alias("share")).where(F.col("share") >= GENERALISE)
+    told = pairs.join(every, "term").where(p >= LEAST_P).select("term", share(p).alias("share")).where(F.col("share") >= GENERALISE)
     return ws.save(told.groupBy("term").agg(F.max("share").alias("share")), "revealing")
 
 
