@@ -4,8 +4,7 @@ Base spans are e-mail addresses, IP addresses, card and phone numbers found by p
 protected entities. A term (a word of letters) reveals an entity as far as documents that hold the term hold the
 entity: with p = n(term, entity) / n(term) over all documents, the term gives log2(p / P(entity)) bits of the
 -log2 P(entity) that the entity is worth. A term that gives at least GENERALISE of them with p of at least
-LEAST_P, supported by LEAST_SUPPORT different wordings around it (so that copies of one text don't count),
-is a span in every document: generalised to its kind, or removed from REMOVE on.
+LEAST_P, in at least LEAST_SUPPORT texts with the entity whose wording around it varies (so that copies of one text don't count), is a span in every document: generalised to its kind, or removed from REMOVE on.
 
 Matching runs linear in the text: possessive repeats, and anchors where a leftmost match can begin. Offsets
 come from the lengths of the pieces between the matches, in code points.
@@ -35,6 +34,8 @@ WORD = r"\p{L}++"
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 GENERALISE, REMOVE, LEAST_P, LEAST_SUPPORT = 0.8, 0.95, 0.5, 3
 LEAST_LETTERS = 3
+#: Share of a pair's texts that may have the same word next to the term on the side where words vary more.
+MOST_ALIKE = 0.5
 
 
 def luhn(digits: Column) -> Column:
@@ -98,23 +99,25 @@ def revealing_terms(docs: DataFrame, based: DataFrame, ws: Workspace) -> DataFra
     entities = held.select("doc", F.explode("entities").alias("entity"))
     often = entities.groupBy("entity").agg(F.count_distinct("doc").alias("texts"), F.count("*").alias("n_entity")).where(F.col("texts") >= LEAST_SUPPORT)
     often = ws.save(often.select("entity", "n_entity"), "entities")
-    words = F.split(F.lower(F.col("text")), r"[^\p{L}]+")
-    at = F.sequence(F.lit(0), F.size("w") - 1)
-    around = F.transform(at, lambda i: F.struct(F.get("w", i).alias("term"), F.xxhash64(F.coalesce(F.get("w", i - 1), F.lit("")), F.coalesce(F.get("w", i + 1), F.lit(""))).alias("wording")))
-    near = entities.join(often, "entity").select("doc", "entity", "n_entity").distinct()
-    copies = held.groupBy("doc").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    near = near.join(copies, "doc").withColumn("w", words).select("doc", "copies", "entity", "n_entity", F.explode(F.array_distinct(around)).alias("t")).select("doc", "copies", "entity", "n_entity", "t.*").where(F.length("term") >= LEAST_LETTERS)
-    pairs = near.groupBy("entity", "n_entity", "term", "wording").agg(F.max("doc").alias("doc"), F.max("copies").alias("copies"))
-    # each text counts once for a pair, each wording once as support
-    counted = near.select("entity", "term", "doc", "copies").distinct().groupBy("entity", "term").agg(F.sum("copies").alias("both"))
-    support = pairs.groupBy("entity", "n_entity", "term").agg(F.count("*").alias("support"), F.count_distinct("doc").alias("texts")).where(f"support >= {LEAST_SUPPORT} and texts >= {LEAST_SUPPORT}")
+    words = F.filter(F.split(F.lower(F.col("text")), r"[^\p{L}]+"), lambda w: w != "")
+    each = F.transform("w", lambda w, i: F.struct(w.alias("term"), F.xxhash64(F.get("w", i - 1)).alias("before"), F.xxhash64(F.get("w", i + 1)).alias("after")))
+    texts = held.groupBy("doc").agg(F.first("text").alias("text"), F.count("*").alias("copies")).withColumn("w", words)
+    texts = ws.save(texts.select("doc", "copies", "w"), "words")  # so that words are split once, not for each neighbour
+    texts = texts.select("doc", "copies", F.filter(F.array_distinct(each), lambda t: F.length(t["term"]) >= LEAST_LETTERS).alias("t"))
+    near = entities.join(often, "entity").select("doc", "entity", "n_entity").distinct().join(texts, "doc").select("doc", "copies", "entity", "n_entity", F.explode("t").alias("t")).select("doc", "copies", "entity", "n_entity", "t.*")
+    near = ws.save(near, "near")
+    pair = ["entity", "n_entity", "term"]
+    # copies of a text mostly have one word before and after a term: on one side the most frequent word must be rare
+    modal = lambda side: near.groupBy(*pair, side).agg(F.count_distinct("doc").alias("n")).groupBy(*pair).agg(F.max("n").alias(f"most_{side}"))
+    support = near.select(*pair, "doc", "copies").distinct().groupBy(*pair).agg(F.count("*").alias("support"), F.sum("copies").alias("both")).where(F.col("support") >= LEAST_SUPPORT)
+    support = support.join(modal("before"), pair).join(modal("after"), pair).where(F.least("most_before", "most_after") <= MOST_ALIKE * F.col("support"))
     # a term is in all documents at least as often as in those with entities, which bounds what it can tell before the corpus is read
     inside = based.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_inside"))
     n = docs.count()
     worth = F.greatest(F.log2(F.lit(float(max(n, 2))) / F.col("n_entity")), F.lit(1e-9))
     share = lambda p: 1 + F.log2(p) / worth
     most = F.col("both") / F.col("n_inside")
-    pairs = support.join(counted, ["entity", "term"]).join(inside, "term").where((most >= LEAST_P) & (share(most) >= GENERALISE)).drop("n_inside")
+    pairs = support.join(inside, "term").where((most >= LEAST_P) & (share(most) >= GENERALISE)).drop("n_inside")
     pairs = ws.save(pairs, "pairs")
     wanted = ws.save(pairs.select("term").distinct(), "terms")
     if wanted.isEmpty():
