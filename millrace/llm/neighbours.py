@@ -263,6 +263,14 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, k: int = K) -> Dat
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
+def standing(members: DataFrame, most: int = STANDING, salts: int = 64) -> DataFrame:
+    """At most ``most`` nodes of each component, the first by hash: first of each salted part of it, then of all parts."""
+    parts = members.select("component", "node", F.xxhash64("node").alias("h")).withColumn("salt", F.pmod("h", F.lit(salts)))
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h", "node"))
+    parts = parts.withColumn("rank", rank("component", "salt")).where(F.col("rank") <= most)
+    return parts.withColumn("rank", rank("component")).where(F.col("rank") <= most).select("node")
+
+
 def _linked(nodes: DataFrame, ws: Workspace, dim: int, least: float, k: int) -> tuple[DataFrame, DataFrame, str]:
     """(node, component) of linked nodes, and (node, links) with the number of other vectors that each links with."""
     edges, working = None, nodes.select("node", "code")
@@ -284,8 +292,7 @@ def _linked(nodes: DataFrame, ws: Workspace, dim: int, least: float, k: int) ->
         if turn == 0 and full.isEmpty() and recall >= RECALL:
             break
         inside = found.join(full, "component", "left_semi")
-        rank = F.row_number().over(Window.partitionBy("component").orderBy(F.xxhash64("node")))
-        away = inside.withColumn("rank", rank).where(F.col("rank") > STANDING).select("node")
+        away = inside.select("node").join(standing(inside), "node", "left_anti")
         working = nodes.select("node", "code").join(away, "node", "left_anti")
     found = ws.save(components(ws, edges, f"{name}-e"), f"{name}-all")
     degrees = edges.select("a", "b").union(edges.select("b", "a"))
