@@ -53,9 +53,11 @@ class Model:
         self.heads = {t[: STEMS[-1]] for t in [*self.terms, *self.stems]}
 
     def hits(self, words: list[str]) -> list[tuple[int, float]]:
-        """Places and log-odds of toxic terms."""
+        """Places and log-odds of toxic terms; a word right after itself is no new evidence."""
         heads, found, n = self.heads, [], STEMS[-1]
         for i in [i for i, w in enumerate(words) if w[:n] in heads]:
+            if i and words[i] == words[i - 1]:
+                continue
             s = self.terms.get(words[i])
             for k in STEMS:
                 s = self.stems.get(words[i][:k]) if s is None else s
