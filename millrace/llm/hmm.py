@@ -30,12 +30,21 @@ OWN_SHARE, BUCKETS = 1e-4, 1024
 #: Rows of the sample on which the first guess of the states is made; full passes over all training documents follow.
 FIRST_ROWS, FIRST_PASSES = 1000, 12
 #: Words and distinct words of a chunk; words of a piece on which expected counts are taken.
-CHUNK_WORDS, CHUNK_DISTINCT, PIECE = 1_000_000, 250_000, 512
+CHUNK_WORDS, CHUNK_DISTINCT, PIECE = 2_000_000, 400_000, 512
 ALPHA = 0.1
 
 _ENCODED = "chunk long, doc_id long, held_out boolean, ids binary, word binary, idx int, n long"
 
 
+def planes(x: np.ndarray) -> bytes:
+    """32-bit numbers as their first, second, third and fourth bytes, each together, which compress well."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def encode(docs: DataFrame) -> DataFrame:
     """Rows of two kinds: a document as numbers of words (ids), and a chunk's words with their numbers and training counts."""
     batch_rows(docs.sparkSession, 1000)
@@ -70,7 +79,7 @@ def encode(docs: DataFrame) -> DataFrame:
                 if not held and len(x):
                     np.add.at(counts, x, 1)
                 total += len(x)
-                ids.append(x.tobytes())
+                ids.append(planes(x))
                 keys.append((doc_id, held))
             yield texts()
         yield words()
@@ -228,7 +237,7 @@ def score(docs: DataFrame, states: int = STATES, passes: int = PASSES) -> DataFr
         inside = log - within[k] if n else log
         rows = []
         for ids in left.column("ids"):
-            x = np.frombuffer(ids.as_py(), np.int32)
+            x = from_planes(ids.as_py())
             base = log[x].sum() + math.log10(ends + ALPHA) - floor * (len(x) + 1)
             rows.append((len(x) + 1, int((c[x] > 0).sum()) + (ends > 0), base, inside[x].sum(), np.append(k[x], classes - 1).astype(np.uint16).tobytes()))
         columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()))]
