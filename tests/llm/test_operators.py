@@ -77,7 +77,7 @@ def test_segments_are_maximal():
 
 
 def test_toxicity(spark, docs, empty):
-    rows = [(i, f"a plain text of number {i} with words {'you vilestem' + 'abcdefghij'[i % 10] + ' scum' if i % 4 == 0 else ''} in between {i * 7}") for i in range(400)]
+    rows = [(i, f"a plain text of number {i} with words {f'x{i % 37} vilestem' + 'abcdefghij'[i // 4 % 10] + ' scum' if i % 4 == 0 else ''} in between {i * 7}") for i in range(400)]
     train = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)] + [(None, 1), (1, None)], "doc_id long, toxic int")
     model = toxicity.train(train, labels)
