@@ -82,7 +82,7 @@ def test_toxicity(spark, docs, empty):
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)] + [(None, 1), (1, None)], "doc_id long, toxic int")
     model = toxicity.train(train, labels)
     assert "scum" in model.terms and "vilest" in model.stems
-    new = spark.createDataFrame([(1, "some vilestemzzz here"), (2, "some words here of number"), (3, None), (4, ""), (5, "word " * 30000 + "scum scum scum")], "doc_id long, text string")
+    new = spark.createDataFrame([(1, "some vilestemzzz here"), (2, "some words here of number"), (3, None), (4, ""), (5, "word " * 30000 + "scum vilestemq scum vilestemx scum")], "doc_id long, text string")
     got = {r.doc_id: r.score for r in toxicity.score(new, model).collect()}
     assert got[1] > 0.5 and got[5] > 0.5 and got[2] < 0.5 and got[3] == got[4] < 0.5
     spans = toxicity.passages(new, model, most_expected=10).collect()
