@@ -220,7 +220,7 @@ def test_neighbours(spark):
 def test_mixing_sql(spark, docs, empty):
     con = duckdb.connect()
     for df in (spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source"), docs.select("doc_id", "text", "source")):
-        documents = df.toPandas()  # noqa: F841  read by DuckDB
+        documents = df.toArrow()
         con.register("documents", documents)
         want = con.sql(mixing.ORACLE).fetchall()
         got = mixing.op5(df).collect()
