@@ -115,8 +115,8 @@ c AS (
 p AS (SELECT *, least(middle / greatest(target, 1e-9::DOUBLE), 1.0::DOUBLE) AS u FROM c)
 SELECT doc_id, size, source_size, target,
        (size * ((middle < target)::INT + (middle + source_size < target)::INT))::BIGINT AS taken,
-       CASE WHEN middle < target THEN round(CASE WHEN ramp = 0 THEN u
-            ELSE (sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * u) - (1 - ramp)) / (2 * ramp) END, 9) END AS position
+       CASE WHEN middle < target THEN abs(round(CASE WHEN ramp = 0 THEN u
+            ELSE (sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * u) - (1 - ramp)) / (2 * ramp) END, 9)) END AS position
 FROM p
 """
 

@@ -216,16 +216,17 @@ def reachable(found: DataFrame, ws: Workspace, span: int = RANGE) -> DataFrame:
     their reach each round; then each range, bounded by its bytes, is walked from its entry.
     """
     farthest = found.agg(F.max("offset")).first()[0] or 0
-    jumps = ws.save(found.where("exit is not null").select("path", F.col("offset").alias("a"), F.col("exit").alias("b")), "jumps0")
-    entries = ws.save(found.where("offset = 0").select("path", F.col("offset").alias("a")), "entries0")
+    found = found.withColumn("file", F.xxhash64("path"))  # short rows for what is joined again and again
+    jumps = ws.save(found.where("exit is not null").select("file", F.col("offset").alias("a"), F.col("exit").alias("b")), "jumps0")
+    entries = ws.save(found.where("offset = 0").select("file", F.col("offset").alias("a")), "entries0")
     rounds = math.ceil(math.log2(farthest // span + 2))
     for k in range(1, rounds + 1):
-        further = entries.join(jumps, ["path", "a"]).select("path", F.col("b").alias("a"))
+        further = entries.join(jumps, ["file", "a"]).select("file", F.col("b").alias("a"))
         entries = ws.save(entries.union(further).distinct(), f"entries{k}")
         if k < rounds:
-            then = jumps.select("path", F.col("a").alias("b"), F.col("b").alias("c"))
-            jumps = ws.save(jumps.join(then, ["path", "b"]).select("path", "a", F.col("c").alias("b")), f"jumps{k}")
-    entries = entries.select("path", (F.col("a") - F.col("a") % span).alias("range"), F.col("a").alias("entry"))
+            then = ws.read(f"jumps{k - 1}", jumps).select("file", F.col("a").alias("b"), F.col("b").alias("c"))
+            jumps = ws.save(jumps.join(then, ["file", "b"]).select("file", "a", F.col("c").alias("b")), f"jumps{k}")
+    entries = entries.select("file", (F.col("a") - F.col("a") % span).alias("range"), F.col("a").alias("entry"))
 
     def walk(table: pa.Table) -> pa.Table:
         place = {o: i for i, o in enumerate(table.column("offset").to_pylist())}
@@ -236,7 +237,7 @@ def reachable(found: DataFrame, ws: Workspace, span: int = RANGE) -> DataFrame:
             at = following[place[at]]
         return table.take(pa.array(keep, pa.int64())).select(_FOUND.names)
 
-    return found.join(entries, ["path", "range"]).groupBy("path", "range").applyInArrow(walk, FOUND)
+    return found.join(entries, ["file", "range"]).groupBy("file", "range").applyInArrow(walk, FOUND)
 
 
 def read(archives: DataFrame, ws: Workspace, span: int = RANGE) -> DataFrame:
