@@ -100,11 +100,11 @@ def revealing_terms(docs: DataFrame, based: DataFrame, ws: Workspace) -> DataFra
     often = entities.groupBy("entity").agg(F.count_distinct("doc").alias("texts"), F.count("*").alias("n_entity")).where(F.col("texts") >= LEAST_SUPPORT)
     often = ws.save(often.select("entity", "n_entity"), "entities")
     words = F.filter(F.split(F.lower(F.col("text")), r"[^\p{L}]+"), lambda w: w != "")
+    texts = held.groupBy("doc").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    near = entities.join(often, "entity").select("doc", "entity", "n_entity").distinct()
+    texts = ws.save(texts.join(near.select("doc").distinct(), "doc", "left_semi").withColumn("w", words).drop("text"), "words")  # so that words are split once, not for each neighbour
     each = F.transform("w", lambda w, i: F.struct(w.alias("term"), F.xxhash64(F.get("w", i - 1)).alias("before"), F.xxhash64(F.get("w", i + 1)).alias("after")))
-    texts = held.groupBy("doc").agg(F.first("text").alias("text"), F.count("*").alias("copies")).withColumn("w", words)
-    texts = ws.save(texts.select("doc", "copies", "w"), "words")  # so that words are split once, not for each neighbour
-    texts = texts.select("doc", "copies", F.filter(F.array_distinct(each), lambda t: F.length(t["term"]) >= LEAST_LETTERS).alias("t"))
-    near = entities.join(often, "entity").select("doc", "entity", "n_entity").distinct().join(texts, "doc").select("doc", "copies", "entity", "n_entity", F.explode("t").alias("t")).select("doc", "copies", "entity", "n_entity", "t.*")
+    near = near.join(texts.select("doc", "copies", F.explode(each).alias("t")), "doc").select("doc", "copies", "entity", "n_entity", "t.*").where(F.length("term") >= LEAST_LETTERS)
     near = ws.save(near, "near")
     pair = ["entity", "n_entity", "term"]
     # copies of a text mostly have one word before and after a term: on one side the most frequent word must be rare
