@@ -1,0 +1,159 @@
+"""Near-duplicates by the similarity of word shingles, exactly: an edge wherever Jaccard reaches FIFTHS / 5.
+
+A document is the set of its SHINGLE-word shingles (64-bit hashes). Sets of Jaccard t or more share one of the
+first s - ceil(t * s) + 1 shingles of either set of s, in any one order of all shingles. The order here puts the
+shingles that a sample of the texts has often last, which decides the cost and never the result.
+
+Equal sets are one node. Each shingle's holders are first compared with one of them, turn by turn another one,
+so that large groups of copies become components without their pairs being spelled out; then all holders of
+a shingle that are in different components yet are compared. Sizes and counts by hash, which bound
+the similarity from above, rule out most pairs before the texts of the others are fetched.
+
+Defined cases: a null text is the empty text; texts without words are equal; a text of fewer words is one
+shingle; of each component the row of least doc_id (null last) stays, and one row if several have it;
+columns are kept as they are; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from millrace.llm._shared import BROADCAST_IDS, Workspace, batch_rows, components
+
+#: Words of a shingle, and the least Jaccard similarity in fifths.
+SHINGLE, FIFTHS = 5, 4
+#: One text of so many is sampled for common shingles; at most so many of them are sent to the tasks.
+SAMPLE, COMMON = 16, 200_000
+#: Counts of a set by which pairs are ruled out before their texts are fetched; turns in which holders meet one of them only.
+BUCKETS, STARS = 256, 2
+
+
+def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct XXH64 (seed 42) of the text's k-word shingles."""
+    words = (text or "").encode().lower().split()  # bytes: ASCII white space and A-Z only
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    n = max(1, len(words) - k + 1)
+    last = ends[k - 1 :] if len(words) >= k else ends[-1:]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter([digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)], np.uint64, n))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two sorted sets reaches FIFTHS / 5."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 5 * both >= FIFTHS * (len(a) + len(b) - both)
+
+
+def common(texts: DataFrame) -> np.ndarray:
+    """Shingles in three or more of the sampled texts, sorted; the most frequent ones if there are too many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            every = [shingles(t.as_py()) for t in b.column(0)]
+            if every:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(every).view(np.int64), pa.int64())], ["h"])
+
+    held = texts.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n >= 3")
+    got = held.orderBy(F.desc("n"), "h").limit(COMMON).select("h").collect()  # at most COMMON
+    return np.sort(np.array([r[0] for r in got], np.int64).view(np.uint64))
+
+
+def prefixes(rows: DataFrame, often: np.ndarray) -> DataFrame:
+    """_row, id, node (of equal sets), size, held (shingles by BUCKETS of their hash), first (the shingles of which similar sets share one)."""
+    sent = rows.sparkSession.sparkContext.broadcast(often)  # at most COMMON hashes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = sent.value
+        for b in batches:
+            node, size, held, first = [], [], [], []
+            for t in b.column(2):
+                x = shingles(t.as_py())
+                node.append(xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63))
+                size.append(len(x))
+                held.append(np.bincount((x % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).astype(np.uint32).tobytes())
+                n = len(x) - -(-FIFTHS * len(x) // 5) + 1 if len(x) else 0
+                late = often[np.minimum(np.searchsorted(often, x), len(often) - 1)] == x if len(often) else np.zeros(len(x), bool)
+                first.append(np.concatenate([x[~late], x[late]])[:n].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(held, pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["_row", "id", "node", "size", "held", "first"])
+
+    return rows.selectExpr("_row", "cast(doc_id as long) id", "text").mapInArrow(run, "_row long, id long, node long, size long, held binary, first array<long>")
+
+
+def _filtered(pairs: DataFrame, facts: DataFrame, value: str, passes) -> DataFrame:
+    """The pairs (a, b) whose ends' values pass; ``facts`` holds (node, value)."""
+    both = pairs.join(facts.select(F.col("node").alias("a"), F.col(value).alias("x")), "a")
+    both = both.join(facts.select(F.col("node").alias("b"), F.col(value).alias("y")), "b").select("a", "b", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [passes(x.as_py(), y.as_py()) for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def may_be_similar(x: bytes, y: bytes) -> bool:
+    """Whether the sets can be similar by their bucket counts, whose minima bound the intersection from above."""
+    a, b = np.frombuffer(x, np.uint32).astype(np.int64), np.frombuffer(y, np.uint32).astype(np.int64)
+    both = int(np.minimum(a, b).sum())
+    return 5 * both >= FIFTHS * (int(a.sum() + b.sum()) - both)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, ws: Workspace, name: str) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar; ``texts`` holds (node, text), a text for each node."""
+    pairs = ws.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-pairs")
+    pairs = ws.save(_filtered(pairs, sets, "held", may_be_similar), f"{name}-likely")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = texts.join(ends, "node", "left_semi")
+    return ws.save(_filtered(pairs, texts, "text", lambda x, y: similar(shingles(x), shingles(y))), f"{name}-links")
+
+
+def links(sets: DataFrame, texts: DataFrame, ws: Workspace) -> DataFrame:
+    """Edges (a, b) that span the components of similar sets, of (node, size, held, first)."""
+    each = sets.select("node", "size", F.explode("first").alias("h"))
+    shared = ws.save(each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "hashes")
+    at = each.join(F.broadcast(shared) if shared.count() <= BROADCAST_IDS else shared, "h", "left_semi")
+    at = ws.save(at.withColumn("component", F.col("node")), "at")
+    edges = None
+    for turn in range(STARS + 1):
+        if edges is not None:
+            at = at.drop("component").join(components(ws, edges, f"c{turn}"), "node", "left")
+            at = ws.save(at.select("node", "size", "h", F.coalesce("component", "node").alias("component")), f"at{turn}")
+        mixed = at.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("h")
+        at = ws.save(at.join(mixed, "h", "left_semi"), f"mixed{turn}")
+        x = at.select("h", F.col("node").alias("a"), F.col("size").alias("s"), F.col("component").alias("p"))
+        y = ws.read(f"mixed{turn}", at).select("h", F.col("node").alias("b"), F.col("size").alias("t"), F.col("component").alias("q"))
+        if turn < STARS:
+            y = y.groupBy("h").agg(F.min_by(F.struct("b", "t", "q"), F.xxhash64("b", F.lit(turn))).alias("c")).select("h", "c.*")
+        fits = 5 * F.least("s", "t") >= FIFTHS * F.greatest("s", "t")
+        new = verified(x.join(y, "h").where((F.col("p") != F.col("q") if turn < STARS else F.col("p") < F.col("q")) & fits), sets, texts, ws, f"t{turn}")
+        edges = new if edges is None else edges.union(new)
+    return edges
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each component of similar documents, that of least doc_id."""
+    spark = docs.sparkSession
+    batch_rows(spark, 1000)
+    ws = Workspace(spark)
+    rows = ws.save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    often = common(rows.where(F.pmod(F.xxhash64("_row"), F.lit(SAMPLE)) == 0).select("text"))
+    own = ws.save(prefixes(rows, often), "prefixes")
+    least = F.min(F.struct(F.col("id").isNull(), "id", "_row")).alias("least")
+    nodes = ws.save(own.groupBy("node").agg(least).select("node", "least", F.col("least._row").alias("_row")), "nodes")
+    sets = own.join(nodes.select("_row"), "_row", "left_semi").select("node", "size", "held", "first")
+    texts = rows.select("_row", "text").join(nodes.select("_row", "node"), "_row").select("node", "text")
+    found = components(ws, links(sets, texts, ws), "all")
+    first = nodes.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("root")).agg(F.min("least").alias("least"))
+    first = ws.save(first.select("least._row"), "first")
+    return rows.join(F.broadcast(first) if first.count() <= BROADCAST_IDS else first, "_row", "left_semi").select(*docs.columns)

@@ -473,3 +473,28 @@ def test_pipeline(spark):
         docs = out
     assert sizes[0] >= sizes[1] == sizes[2] and sizes[3] == sizes[4] and "n_tokens" in docs.columns
     assert not set(q.oracle_sql()) - set(q.queries())
+
+
+def test_pipeline_keeps_one_of_similar_shingles(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(12)
+    rows = []
+    for g in range(40):
+        text = [f"w{x}" for x in rng.integers(0, 3000, int(rng.integers(6, 160)))]
+        for _ in range(6):
+            new = list(text)
+            for at in rng.integers(0, len(text), int(rng.integers(0, 1 + len(text) // 25))):
+                new[at] = f"n{rng.integers(0, 9)}"
+            rows.append((len(rows), " ".join(new)))
+    rows += [(7, rows[7][1]), (7, rows[7][1]), (None, rows[9][1]), (None, "alone"), (None, "alone"), (900, None), (901, " ")]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {""} for w in ((t or "").split() for _, t in rows)]
+    near = np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
+    label = simhash.spanning(len(rows), iter([np.nonzero(near)]))
+    groups = {}
+    for k, (i, _) in enumerate(rows):
+        groups.setdefault(label[k], []).append((i is None, i or 0))
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, node int").repartition(5)
+    got = corpus_pipeline.stage_near_duplicates(spark, df, SF)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == sorted(min(g) for g in groups.values())
+    assert got.columns == df.columns
+    assert corpus_pipeline.stage_near_duplicates(spark, df.limit(0), SF).count() == 0
