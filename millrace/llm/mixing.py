@@ -57,11 +57,11 @@ def position(middle: Column, total: Column, ramp: Column) -> Column:
     return F.when(ramp == 0, u).otherwise((root - (1 - ramp)) / F.when(ramp == 0, F.lit(None)).otherwise(2 * ramp))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, ramps: tuple = RAMPS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, copies, and the positions of the copies in training."""
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, ramps: tuple = RAMPS, share: float = SHARE, most: int = MOST, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, copies, and the positions of the copies in training; and the columns of ``keep``."""
     ws = Workspace(docs.sparkSession)
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
-    rows = ws.save(docs.select("doc_id", "source", size.alias("size")), "sizes")
+    rows = ws.save(docs.select("doc_id", "source", size.alias("size"), *keep), "sizes")
     per = ws.save(targets(rows, weights, ramps, share, most), "targets")
     ranges = 1 << max(4, min(16, math.ceil(math.log2(max(2, rows.count())) / 2)))  # so that there are about as many ranges as rows in one
     rows = rows.join(per, rows.source.eqNullSafe(per.source)).drop(per.source)
@@ -77,7 +77,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, ramps: tuple = RAMPS, share:
     took = [m < F.col("target") for m in middles]
     copies = sum((t.cast("int") for t in took), F.lit(0))
     places = F.array(*(F.when(t, F.round(position(m, F.col("target"), F.col("ramp")), 9)) for m, t in zip(middles, took, strict=True)))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.alias("copies"), places.alias("positions"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.alias("copies"), places.alias("positions"), *keep)
 
 
 def op5(docs: DataFrame) -> DataFrame:
@@ -124,12 +124,12 @@ FROM p
 def mixed(docs: DataFrame, most: int = MOST) -> DataFrame:
     """The documents of the mix with all their columns, each copy a row of its own, range-sorted by its position.
 
-    A row is told from others by doc_id and source; rows that repeat both each get the first ``most`` places of
-    them all. Places are few bytes a document: they are broadcast if counted to be few, else both sides are shuffled.
+    Rows are numbered in a copy of the table, so that each has its own positions, whatever it shares with others.
+    Places are few bytes a document: they are broadcast if counted to be few, else both sides are shuffled.
     """
     ws = Workspace(docs.sparkSession)
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit("\0")))
-    drawn = mix(docs, most=most).select(key.alias("_key"), F.explode("positions").alias("_at")).where("_at is not null")
-    drawn = ws.save(drawn.groupBy("_key").agg(F.slice(F.sort_array(F.collect_set("_at")), 1, most).alias("_places")), "places")
-    rows = docs.withColumn("_key", key).join(F.broadcast(drawn) if drawn.count() <= BROADCAST_IDS else drawn, "_key")
+    rows = ws.save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    drawn = mix(rows, most=most, keep=("_row",)).select("_row", F.filter("positions", lambda p: p.isNotNull()).alias("_places")).where(F.size("_places") > 0)
+    drawn = ws.save(drawn, "places")
+    rows = rows.join(F.broadcast(drawn) if drawn.count() <= BROADCAST_IDS else drawn, "_row")
     return rows.withColumn("_at", F.explode("_places")).orderBy("_at", "doc_id").select(*docs.columns)

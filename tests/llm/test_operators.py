@@ -244,6 +244,17 @@ def test_curriculum_and_copies(spark):
     assert [r.doc_id for r in mixed] == [r.doc_id for r in mixing.mixed(docs.repartition(7)).collect()]
 
 
+def test_repeated_rows_have_their_own_copies(spark):
+    rows = [(i // 2 if i < 40 else None if i < 80 else i, f"{i} " + "w " * (i % 5), f"s{i % 2}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.source)
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[key(r), r["size"]] += r.copies
+    got = Counter((key(r), len(words(r.text))) for r in mixing.mixed(docs).collect())
+    assert got == +want and mixing.mixed(docs).columns == docs.columns
+
+
 # -- SimHash
 
 
