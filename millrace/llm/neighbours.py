@@ -5,8 +5,8 @@ is refined by joining neighbours of neighbours: members of a node's neighbourhoo
 compared with each other, and each keeps its K best. Lists full of links are saturated: their components of
 the threshold graph are collapsed to a few members and the descent is repeated, so that such groups meet what
 their full lists hid; then a saturated list is enlarged to its whole component, whose links are counted
-exactly, block by block, without writing pairs. An audit compares sampled nodes with all others in blocks; while
-its recall is below RECALL, descent goes on, with new orders. Links are decided in double precision.
+exactly, block by block, without writing pairs; so are those of all other components. An audit compares sampled nodes with all others in
+blocks; while its recall is below RECALL, descent goes on, with new orders. Links are decided in double precision.
 
 Defined cases: null or zero vectors and vectors with a null or non-finite component link with nothing;
 so do vectors of different length with each other; a null vec_id is a row that has its vector's class;
@@ -30,6 +30,8 @@ LEAST = 0.9
 #: Neighbours kept, orders to start from, window in an order, passes, and the audit's sample and aim.
 K, ORDERS, WINDOW, PASSES = 10, 6, 4, 3
 AUDIT, RECALL, MOST_ROUNDS = 256, 0.995, 4
+#: The descent's similarities are of rounded components: so much below the threshold is looked at exactly.
+SLACK = 0.03
 #: Members that stand for a collapsed component; nodes of a block when a component's links are counted.
 STANDING, BLOCK = 8, 512
 
@@ -115,8 +117,8 @@ def best(edges: DataFrame, k: int) -> DataFrame:
     return one.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
-def refine(lists: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """Edges that comparing the members of each neighbourhood finds, if they beat a member's last neighbour.
+def refine(lists: DataFrame, nodes: DataFrame, k: int, near: float = LEAST - SLACK) -> DataFrame:
+    """Edges that comparing the members of each neighbourhood finds, if they beat a member's last neighbour: the four best, and all above ``near``.
 
     A neighbourhood is a node, its neighbours and at most k of those that have it as neighbour, the best
     ones: neighbours beyond come in by the lists of others and by later passes.
@@ -138,7 +140,8 @@ def refine(lists: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
             for i, j in zip([0, *cut], [*cut, len(centre)], strict=True):
                 s = u[i:j] @ u[i:j].T
                 np.fill_diagonal(s, -2)
-                x, y = np.nonzero(s > np.maximum(least[i:j, None], np.partition(s, -min(4, j - i), axis=1)[:, -min(4, j - i)][:, None] - 1e-6))
+                best4 = np.partition(s, -min(4, j - i), axis=1)[:, -min(4, j - i)][:, None] - 1e-6
+                x, y = np.nonzero(s > np.maximum(least[i:j, None], np.minimum(best4, near)))
                 out.append((node[i + x], node[i + y], s[x, y]))
             return _edges(*(np.concatenate([o[c] for o in out]) for c in range(3)))
 
@@ -159,12 +162,12 @@ def refine(lists: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return rows.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(compare, _EDGES)
 
 
-def descend(nodes: DataFrame, ws: Workspace, name: str, dim: int, seed: int, k: int = K, passes: int = PASSES) -> DataFrame:
+def descend(nodes: DataFrame, ws: Workspace, name: str, dim: int, seed: int, k: int = K, passes: int = PASSES, near: float = LEAST - SLACK) -> DataFrame:
     """(a, b, sim): the neighbour lists after the passes."""
     n = nodes.count()
     lists = ws.save(best(start(nodes, dim, n, seed), k), f"{name}-0")
     for p in range(1, passes + 1):
-        lists = ws.save(best(lists.union(refine(lists, nodes, k)), k), f"{name}-{p}")
+        lists = ws.save(best(lists.union(refine(lists, nodes, k, near)), k), f"{name}-{p}")
         ws.drop(f"{name}-{p - 1}")
     return lists
 
@@ -274,10 +277,10 @@ def standing(members: DataFrame, most: int = STANDING, salts: int = 64) -> DataF
 def _linked(nodes: DataFrame, ws: Workspace, dim: int, least: float, k: int) -> tuple[DataFrame, DataFrame, str]:
     """(node, component) of linked nodes, and (node, links) with the number of other vectors that each links with."""
     edges, working = None, nodes.select("node", "code")
-    slack = least - 0.03  # the descent's similarities are of rounded components
+    slack = least - SLACK
     for turn in range(MOST_ROUNDS):
         name = f"d{dim}-{turn}"
-        lists = descend(working, ws, name, dim, seed=turn, k=k)
+        lists = descend(working, ws, name, dim, seed=turn, k=k, near=slack)
         near = lists.where(F.col("sim") >= slack)
         pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         linked = exact(pairs, nodes, least).select("a", "b")
@@ -295,11 +298,6 @@ def _linked(nodes: DataFrame, ws: Workspace, dim: int, least: float, k: int) ->
         away = inside.select("node").join(standing(inside), "node", "left_anti")
         working = nodes.select("node", "code").join(away, "node", "left_anti")
     found = ws.save(components(ws, edges, f"{name}-e"), f"{name}-all")
-    degrees = edges.select("a", "b").union(edges.select("b", "a"))
-    wide = degrees.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("a").alias("node"))
-    wide = ws.save(found.join(wide, "node", "left_semi").select("component").distinct(), f"{name}-wide")
-    members = found.join(wide, "component", "left_semi").join(nodes.select("node", "copies", "unit"), "node")
-    narrow = degrees.join(found.join(wide, "component", "left_anti").select(F.col("node").alias("a")), "a", "left_semi")
-    narrow = narrow.join(nodes.select(F.col("node").alias("b"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("links"))
-    links = ws.save(counted(members, least).union(narrow.select("node", "links")), f"{name}-links")
+    members = found.join(nodes.select("node", "copies", "unit"), "node")
+    links = ws.save(counted(members, least), f"{name}-links")
     return found, links, name
