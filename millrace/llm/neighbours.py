@@ -6,7 +6,7 @@ compared with each other, and each keeps its K best. Lists full of links are sat
 the threshold graph are collapsed to a few members and the descent is repeated, so that such groups meet what
 their full lists hid; then a saturated list is enlarged to its whole component, whose links are counted
 exactly, block by block, without writing pairs; so are those of all other components. An audit compares sampled nodes with all others in
-blocks; while its recall is below RECALL, descent goes on, with new orders. Links are decided in double precision.
+blocks; while its recall is below RECALL, descent goes on, with new orders, and after MOST_ROUNDS of them the query fails. Links are decided in double precision.
 
 Defined cases: null or zero vectors and vectors with a null or non-finite component link with nothing;
 so do vectors of different length with each other; a null vec_id is a row that has its vector's class;
@@ -163,9 +163,10 @@ def refine(lists: DataFrame, nodes: DataFrame, k: int, near: float = LEAST - SLA
 
 
 def descend(nodes: DataFrame, ws: Workspace, name: str, dim: int, seed: int, k: int = K, passes: int = PASSES, near: float = LEAST - SLACK) -> DataFrame:
-    """(a, b, sim): the neighbour lists after the passes."""
+    """(a, b, sim): the neighbour lists after the passes. Orders grow with n, and double from the third round on."""
     n = nodes.count()
-    lists = ws.save(best(start(nodes, dim, n, seed), k), f"{name}-0")
+    orders = math.ceil(ORDERS * max(1.0, math.log2(max(2, n)) / 16)) << max(0, seed - 1)
+    lists = ws.save(best(start(nodes, dim, n, seed, orders), k), f"{name}-0")
     for p in range(1, passes + 1):
         lists = ws.save(best(lists.union(refine(lists, nodes, k, near)), k), f"{name}-{p}")
         ws.drop(f"{name}-{p - 1}")
@@ -297,6 +298,8 @@ def _linked(nodes: DataFrame, ws: Workspace, dim: int, least: float, k: int) ->
         inside = found.join(full, "component", "left_semi")
         away = inside.select("node").join(standing(inside), "node", "left_anti")
         working = nodes.select("node", "code").join(away, "node", "left_anti")
+    else:
+        raise RuntimeError(f"op4: audited recall {recall:.4f} after {MOST_ROUNDS} rounds, {RECALL} wanted")
     found = ws.save(components(ws, edges, f"{name}-e"), f"{name}-all")
     members = found.join(nodes.select("node", "copies", "unit"), "node")
     links = ws.save(counted(members, least), f"{name}-links")

@@ -214,13 +214,17 @@ def test_neighbours(spark):
     assert neighbours.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_neighbours_count_all_links(spark, monkeypatch):
+def test_neighbours_count_all_links_or_fail(spark, monkeypatch):
     rows = [(i, [1.0, 0.1 * i, 0.0, 0.0]) for i in range(3)] + [(9, [0.0, 0.0, 1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     exact, none = neighbours.exact, spark.createDataFrame([], "a long, b long")
     monkeypatch.setattr(neighbours, "exact", lambda *x: exact(*x).orderBy("a", "b").limit(2))  # one of three links isn't met
     monkeypatch.setattr(neighbours, "audit", lambda *x: (1.0, none))
     assert {r.vec_id: r.n_links for r in neighbours.near_duplicates(df).collect()} == {0: 2, 1: 2, 2: 2, 9: 0}
+    monkeypatch.setattr(neighbours, "MOST_ROUNDS", 1)
+    monkeypatch.setattr(neighbours, "audit", lambda *x: (0.5, none))
+    with pytest.raises(RuntimeError, match="recall"):
+        neighbours.near_duplicates(df)
 
 
 # -- mixing
