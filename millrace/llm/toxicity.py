@@ -82,25 +82,33 @@ class Model:
 def maximal_segments(hits: list[tuple[int, float]], loss: float = LOSS) -> list[tuple[int, int, float]]:
     """All maximal scoring segments of a sequence that scores ``loss`` (negative) except at the hits (positive).
 
-    Linear in the hits: each candidate keeps the sum before it and at its end; a new hit joins the
-    nearest earlier candidate with a smaller sum before it if that doesn't end higher (Ruzzo and Tompa, 1999).
+    Each candidate keeps the sum before it and at its end; a new hit joins the nearest earlier candidate with a
+    smaller sum before it if that doesn't end higher (Ruzzo and Tompa, 1999). Linear in the hits: each candidate
+    knows the nearest earlier one with a smaller sum before it, so that the search jumps over those between, which
+    no later search needs; where there is none, all candidates so far are closed.
     """
-    out: list[list[float]] = []  # first place, place after the last, sum before, sum at the end
+    done: list[tuple[int, int, float]] = []
+    out: list[tuple[int, int, float, float, int]] = []  # first place, place after the last, sum before, sum at the end, nearest with a smaller sum before
     total, at = 0.0, 0
     for place, s in hits:
         total += loss * (place - at)
-        new = [place, place + 1, total, total + s]
+        first, after, low, high = place, place + 1, total, total + s
         total, at = total + s, place + 1
+        j = len(out) - 1
         while True:
-            j = len(out) - 1
-            while j >= 0 and out[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or out[j][3] >= new[3]:
-                out.append(new)
+            while j >= 0 and out[j][2] >= low:
+                j = out[j][4]
+            if j < 0:
+                done += [(a, b, e - l) for a, b, l, e, _ in out]
+                out = [(first, after, low, high, -1)]
                 break
-            new = [out[j][0], new[1], out[j][2], new[3]]
+            if out[j][3] >= high:
+                out.append((first, after, low, high, j))
+                break
+            first, _, low, _, before = out[j]
             del out[j:]
-    return [(int(a), int(b), e - s) for a, b, s, e in out]
+            j = before
+    return done + [(a, b, e - l) for a, b, l, e, _ in out]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
