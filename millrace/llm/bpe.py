@@ -15,6 +15,7 @@ of the input are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import os
 import unicodedata
@@ -33,6 +34,8 @@ from millrace.llm._shared import Workspace, batch_rows, put_bytes, shared_dir
 MIN_SHARE = 1e-5
 #: Entries of a worker's cache of words outside the lexicon, and of its counts before they are passed on.
 CACHE = 400_000
+#: Bytes of a word from which merges wait in a heap.
+LONG = 100
 # White space of Unicode, and the contractions that the pre-tokenizer keeps together.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -65,6 +68,8 @@ class Vocabulary:
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word: again and again the leftmost pair of the least rank becomes one symbol."""
+        if len(word) > LONG:
+            return self._merge_long(word)
         ids = [self.first[b] for b in word[:-1]] + [self.last[word[-1]]]
         merges, none = self.merges, (1 << 60, 0)
         ranks = [merges.get(a << 32 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
@@ -81,6 +86,32 @@ class Vocabulary:
                 ranks[at] = merges.get(ids[at] << 32 | ids[at + 1], none)
         return ids
 
+    def _merge_long(self, word: bytes) -> list[int]:
+        """The same for long words: pairs wait in a heap by rank and place, symbols are a doubly linked list, so n log n in all."""
+        ids = [self.first[b] for b in word[:-1]] + [self.last[word[-1]]]
+        n, merges = len(ids), self.merges
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = []
+        for i in range(n - 1):
+            found = merges.get(ids[i] << 32 | ids[i + 1])
+            if found:
+                heap.append((found[0], i, ids[i], ids[i + 1], found[1]))
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b, new = heapq.heappop(heap)
+            j = after[i] if ids[i] == a else n
+            if j >= n or ids[j] != b:
+                continue  # one of the two has been merged since
+            ids[i], ids[j] = new, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+            for x, y in ((before[i], i), (i, k)):
+                found = merges.get(ids[x] << 32 | ids[y]) if x >= 0 and y < n else None
+                if found:
+                    heapq.heappush(heap, (found[0], x, ids[x], ids[y], found[1]))
+        return [i for i in ids if i >= 0]
+
     def decode(self, ids: list[int]) -> bytes:
         """UTF-8 of the tokens' strings with spaces between, as a tokenizer without a decoder gives; unknown ids are skipped."""
         text = self.text
