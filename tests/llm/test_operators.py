@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -76,6 +77,17 @@ def test_segments_are_maximal():
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in all_segments(scores)]
 
 
+def test_segments_in_linear_time():
+    took = []
+    for n in (25_000, 100_000):
+        began = time.process_time()
+        lonely = toxicity.maximal_segments([(40 * i, 2.0 + i % 3) for i in range(n)])
+        rising = toxicity.maximal_segments([(5 * i, 1.8 + 0.01 * (i % 7)) for i in range(n)])
+        took.append(time.process_time() - began)
+        assert len(lonely) == n and 0 < len(rising) <= n
+    assert took[1] < 12 * took[0] + 0.5
+
+
 def test_toxicity(spark, docs, empty):
     rows = [(i, f"a plain text of number {i} with words {f'x{i % 37} vilestem' + 'abcdefghij'[i // 4 % 10] + ' scum' if i % 4 == 0 else ''} in between {i * 7}") for i in range(400)]
     train = spark.createDataFrame(rows, "doc_id long, text string")
@@ -94,10 +106,20 @@ def test_toxicity(spark, docs, empty):
 
 
 def test_toxicity_held_out(spark):
-    d = "/root/testdata/sf0.01"
-    got = q.op1_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
-    assert all(r.predicted == 0 for r in got if not r.toxic)
-    assert sum(r.predicted for r in got if r.toxic) >= 0.6 * sum(r.toxic for r in got)
+    d = "/root/testdata/sf0.1"  # enough labels, of which only the held-out ones are looked at
+    got = q.op1_toxicity(spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
+    toxic = [r for r in got if r.toxic]
+    assert len(toxic) >= 10 and sum(r.predicted for r in got if not r.toxic) <= 0.005 * len(got)
+    assert sum(r.predicted for r in toxic) >= 0.9 * len(toxic)
+
+
+def test_probability_by_the_formula():
+    m = toxicity.Model({"scum": 2.0, "vile": 3.0}, {}, lam=0.7, k=0.05, slope=1.3, at=-2.0)
+    for text in ("", None, "plain words", "scum", "a vile scum b c d e f g h i j k l m vile", "x " * 50 + "vile scum vile"):
+        words = re.findall(r"\w+", text or "")
+        scores = [m.terms[w] if w in m.terms else toxicity.LOSS for w in words]
+        x = sum(max(0.0, -math.log(m.k * len(words) * math.exp(-m.lam * s))) for _, _, s in all_segments(scores))
+        assert math.isclose(m.score(text)[0], 1 / (1 + math.exp(-(1.3 * x - 2.0))), rel_tol=1e-9)
 
 
 # -- WARC
@@ -330,6 +352,9 @@ def library():
 def test_bpe_equals_the_library(spark, docs, empty, library):
     odd = ["it's we'll  I'M 'twas ''s a'sb 'rex 've", "Σίσυφος ΣΑΣ İstanbul ﬁ Å é ½x²3", "a<|endoftext|>b <|startoftext|>", "\x1c\x1d a\x85b ​　c 日本語 ١٢٣ 🙂🙂x", "don't!'s '' 's", "'", "a" * 5000, "<|endoftext|>"]
     df = docs.select("doc_id", "text").union(spark.createDataFrame([(100 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
+    rng = np.random.default_rng(11)
+    long = ["".join(rng.choice(list("abcdetheringé日'x1-"), int(n)).tolist()) for n in rng.integers(80, 4000, 20)]
+    df = df.union(spark.createDataFrame([(200 + i, t) for i, t in enumerate(long)], "doc_id long, text string"))
     texts = df.collect()
     want = Counter()
     for i, t in texts:
@@ -343,6 +368,14 @@ def test_bpe_equals_the_library(spark, docs, empty, library):
     assert bpe.digest(empty, q.tokenizer_path()).count() == 0
 
 
+def test_long_words_take_little_more_than_linear_time():
+    vocab = bpe.Vocabulary(open(q.tokenizer_path(), encoding="utf-8").read())
+    word = bytes(np.random.default_rng(13).choice(list(b"etaoinshrdlu"), 1_000_000).tolist())
+    began = time.process_time()
+    assert sum(len(vocab.text[i]) for i in vocab.merge(word)) == len(word) + len(bpe.END)
+    assert time.process_time() - began < 60
+
+
 def test_transducer_is_minimal_and_ranks():
     w = sorted({b"tap", b"taps", b"top", b"tops", b"a", b"aps", b"", b"stops"} - {b""})
     _, nxt, _, final = bpe.minimal_transducer(w)
