@@ -467,33 +467,84 @@ def test_personal_data(spark, docs, empty):
 # -- hidden Markov model
 
 
-def test_forward_by_brute_force():
+def all_paths(m, s):
+    total = 0.0
+    for path in np.ndindex(*(len(m.pi),) * len(s)):
+        p = m.pi[path[0]] * m.b[s[0], path[0]]
+        for t in range(1, len(s)):
+            p *= m.a[path[t - 1], path[t]] * m.b[s[t], path[t]]
+        total += p
+    return total
+
+
+def test_forward_by_brute_force(monkeypatch):
     rng = np.random.default_rng(8)
     m = hmm.Model.from_counts(rng.random(3), rng.random((3, 3)), rng.random((5, 3)), np.full(5, 0.2))
-    sequences = [rng.integers(0, 5, n) for n in (1, 2, 5, 3, 4)]
-    got = hmm.Batch(sequences).forward(m)[0]
-    for s, g in zip(sequences, got):
-        total = 0.0
+    sequences = [rng.integers(0, 5, n) for n in (1, 2, 7, 3, 4, 8)]
+    for piece in (512, 3, 2):
+        monkeypatch.setattr(hmm, "PIECE", piece)
+        for s, g in zip(sequences, hmm.likelihood(sequences, m)):
+            assert math.isclose(g, math.log10(all_paths(m, s)), rel_tol=1e-9)
+
+
+def test_expected_counts_are_those_of_whole_texts(monkeypatch):
+    rng = np.random.default_rng(18)
+    m = hmm.Model.from_counts(rng.random(3), rng.random((3, 3)), rng.random((5, 3)), np.full(5, 0.2))
+    sequences = [rng.integers(0, 5, n) for n in (7, 1, 6, 3)]
+    pi, a, b = np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3))
+    for s in sequences:
+        whole = all_paths(m, s)
         for path in np.ndindex(*(3,) * len(s)):
             p = m.pi[path[0]] * m.b[s[0], path[0]]
             for t in range(1, len(s)):
                 p *= m.a[path[t - 1], path[t]] * m.b[s[t], path[t]]
-            total += p
-        assert math.isclose(g, math.log10(total), rel_tol=1e-9)
+            pi[path[0]] += p / whole
+            for t in range(len(s)):
+                b[s[t], path[t]] += p / whole
+                if t:
+                    a[path[t - 1], path[t]] += p / whole
+    for piece, side in ((512, 500_000), (2, 500_000), (3, 4), (1, 2)):
+        monkeypatch.setattr(hmm, "PIECE", piece)
+        monkeypatch.setattr(hmm, "SIDE_BY_SIDE", side)
+        got = hmm.expected(sequences, m)
+        assert np.allclose(got[0], pi) and np.allclose(got[1], a) and np.allclose(got[2], b)
+        assert math.isclose(got[3], sum(math.log10(all_paths(m, s)) for s in sequences))
 
 
 def test_expected_counts_raise_the_likelihood():
     rng = np.random.default_rng(9)
     sequences = [np.repeat(rng.integers(0, 6, 8), 4) for _ in range(40)]
-    share, batch = np.full(6, 1 / 6), hmm.Batch(sequences)
+    share = np.full(6, 1 / 6)
     m, last = hmm.first_guess([], share, 3), -1e18
     for _ in range(10):
-        pi, a, b, total = batch.expected(m)
+        pi, a, b, total = hmm.expected(sequences, m)
         assert math.isclose(b.sum(), 40 * 32) and math.isclose(a.sum(), 40 * 31) and math.isclose(pi.sum(), 40)
         assert total > last - 1
         m, last = hmm.Model.from_counts(pi, a, b, share * 1e-3), total
 
 
+def test_score_by_all_paths(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * 7 + k) ** 2 % 11}" for k in range(i % 9))) for i in range(60)] + [(61, None), (None, "w1 never seen w1"), (3, "w1 W2 uniquE")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(hmm, "OWN_SHARE", 0.05)
+    monkeypatch.setattr(hmm, "PIECE", 3)
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    v, coded, _ = hmm.prepare(docs, Workspace(spark))
+    m = hmm.train(coded, v, states=2)
+    c = Counter(w for i, t in rows if not held(i) for w in words(t))
+    of = {w: v.of(w) for w in {w for _, t in rows for w in words(t)}}
+    assert 0 < len(v.own) < len(c)
+    want = Counter()
+    for i, t in rows:
+        p = all_paths(m, [*(of[w] for w in words(t)), v.classes - 1])
+        for w in words(t):
+            own = [x for x in c if of[x] == of[w]]
+            p *= (c[w] + 0.1) / (sum(c[x] for x in own) + 0.1 * (len(own) + 1))
+        want[i, f"{math.log10(p):.7f}"] += 1
+    for frequent in (hmm.FREQUENT, 3, 0):
+        assert Counter((r.doc_id, f"{r.score:.7f}") for r in hmm.score(docs, states=2, frequent=frequent).collect()) == want
+
+
 def test_scores(spark, docs, empty):
     got = hmm.op10(docs).collect()
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
