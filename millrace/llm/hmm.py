@@ -19,6 +19,7 @@ gives an empty result; without training documents all counts are 0.
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -39,7 +40,9 @@ FREQUENT = 200_000
 #: Documents of the sample (of at most FIRST_WORDS words each) on which the first guess of the states is made; full passes over all training documents follow.
 FIRST_ROWS, FIRST_WORDS, FIRST_PASSES = 1000, 20_000, 12
 #: Words of a piece, words of the pieces that are handled side by side, and entries of a task's counts before they are passed on.
-PIECE, SIDE_BY_SIDE, CACHE = 512, 500_000, 400_000
+PIECE, SIDE_BY_SIDE, CACHE = 1024, 500_000, 400_000
+#: Steps after which a product of steps is scaled; probabilities of so many steps are far from the least double.
+SCALED = 16
 ALPHA = 0.1
 
 
@@ -117,8 +120,13 @@ class Batch:
         out = np.where(first[:, None, None], np.eye(k), m.a[None])
         at = self.at.tolist()
         for t, n in enumerate(self.width.tolist()):
-            x = (out[:n] @ m.a if t else out[:n]) * e[at[t] : at[t + 1], None, :]
-            out[:n] = x / x.sum((1, 2))[:, None, None]
+            x = out[:n]
+            if t:
+                x = (x.reshape(-1, k) @ m.a).reshape(n, k, k)
+            np.multiply(x, e[at[t] : at[t + 1], None, :], out=out[:n])
+            if t % SCALED == SCALED - 1:
+                out[:n] /= out[:n].max((1, 2))[:, None, None]
+        out /= out.max((1, 2))[:, None, None]
         back = np.empty_like(out)
         back[self.order] = out
         return back
@@ -126,13 +134,13 @@ class Batch:
     def forward(self, m: Model, start: np.ndarray, keep: bool = False) -> tuple:
         """Log10-likelihood of each piece, given its distribution of states before it emits; with ``keep`` also alphas, emissions and scales by time."""
         e = m.b[self.classes]
-        total, alpha = np.zeros(len(self.order)), start[self.order]
+        total, alpha, one = np.zeros(len(self.order)), start[self.order], np.ones(len(m.pi))
         if keep:
             alphas, scales = np.empty_like(e), np.empty(len(e))
         at = self.at.tolist()
         for t, n in enumerate(self.width.tolist()):
             alpha = (alpha[:n] @ m.a if t else alpha) * e[at[t] : at[t + 1]]
-            scale = alpha.sum(1)
+            scale = alpha @ one
             alpha /= scale[:, None]
             total[:n] += np.log10(scale)
             if keep:
@@ -319,19 +327,30 @@ def learn_words(counts: DataFrame, ends: int, frequent: int = FREQUENT) -> Words
     return Words({bytes(r[0]): k for k, r in enumerate(rows)}, np.array([r[1] for r in rows], np.int64), own, mass, kinds, ends, total, distinct)
 
 
+_LOOKED_UP: dict[str, tuple] = {}
+
+
+def looked_up(name: str, sent) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """The words sent, and of the frequent ones (then a rare one) logarithm, being known, and class; made once in a worker, whatever the number of its tasks."""
+    if name not in _LOOKED_UP:
+        _LOOKED_UP.clear()
+        v = sent.value
+        _LOOKED_UP[name] = v, np.append(np.log10(v.c + ALPHA), 0.0), np.append(v.c > 0, False), np.array([*map(v.of, v.frequent), 0], np.int64)
+    return _LOOKED_UP[name]
+
+
 _CODED = "doc_id long, held_out boolean, n_words long, known long, log double, less double, classes binary, rare array<binary>"
 
 
 def encode(docs: DataFrame, words: Words) -> DataFrame:
     """Documents as classes; what frequent words add to the scores, and the rare words, whose counts are to be joined."""
     sent = docs.sparkSession.sparkContext.broadcast(words)  # at most FREQUENT and 1 / OWN_SHARE words
-    names = [c.split()[0] for c in _CODED.split(", ")]
+    name, names = uuid.uuid4().hex, [c.split()[0] for c in _CODED.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = sent.value
-        get, log = v.frequent.get, np.append(np.log10(v.c + ALPHA), 0.0)
-        known, klass = np.append(v.c > 0, False), np.array([*map(v.of, v.frequent), 0], np.int64)
+        v, log, known, klass = looked_up(name, sent)
+        get = v.frequent.get
         for b in batches:
             rows = []
             for text in b.column("text"):
