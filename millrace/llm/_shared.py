@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that its machines share")
         found = "file://" + tempfile.mkdtemp(prefix="millrace-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -79,40 +84,90 @@ def batch_rows(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def components(ws: Workspace, edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
-    """Connected components of edges (a, b): one row (node, component), component the smallest node.
+#: So many edges (16 MB) are contracted at once in one task; more first shrink in rounds.
+ONE_TASK = 1_000_000
+
+
+def spanning(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Label of each of n nodes: the smallest node that the pairs connect it with."""
+    label = np.arange(n)
+    for x, y in pairs:
+        while True:
+            a, b = label[x], label[y]
+            differ = a != b
+            if not differ.any():
+                break
+            x, y = x[differ], y[differ]
+            np.minimum.at(label, np.maximum(a, b)[differ], np.minimum(a, b)[differ])
+            while (label[label] != label).any():
+                label = label[label]
+    return label
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(old, new) of all nodes of a task's edges, which are at most ONE_TASK: new is the least node that is reachable."""
+    own = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if own:
+        a, b = (np.concatenate([x[k] for x in own]) for k in range(2))
+        nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        label = spanning(len(nodes), [(place[: len(a)], place[len(a) :])])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["old", "new"])
+
+
+def components(ws: Workspace, edges: DataFrame, name: str, max_rounds: int = 60, one_task: int | None = None) -> DataFrame:
+    """Connected components of edges (a, b) of longs: one row (node, component), component the smallest node.
 
     Each round every node points at its neighbour (or itself) of least hash, edges are contracted to
     those leaders, and the pointers are kept; hashes change by the round, so that paths, stars and
-    cliques all shrink by a constant factor. Rounds end when no edge is left. Rows of a hub meet in
-    partially aggregated minima; joins are plain equi-joins that AQE may split. Every round is
-    written to the shared folder. Loops and repeated edges do no harm; null ends are ignored.
+    cliques all shrink by a constant factor. Once at most ONE_TASK edges are left, which are counted, one task
+    contracts the rest. Rows of a hub meet in partially aggregated minima; joins are plain equi-joins that AQE
+    may split. Every round is written to the shared folder. Loops and repeated edges do no harm; null ends are ignored.
     """
-    edges = edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct()
-    edges = ws.save(edges, f"{name}-e0")
-    both = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    pointer = ws.save(both.select("node", F.col("node").alias("leader")), f"{name}-p0")
+    one_task = ONE_TASK if one_task is None else one_task
+    edges = edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges, pointer = ws.save(edges, f"{name}-e0"), None
     for k in range(max_rounds):
-        if edges.isEmpty():
+        n = edges.count()
+        if not n:
+            break
+        if n <= one_task:
+            step = ws.save(edges.coalesce(1).mapInArrow(_contract, "old long, new long"), f"{name}-s{k}")
+        else:
+            rank = lambda c: F.xxhash64(F.col(c), F.lit(k))
+            ends = edges.select("a", "b").union(edges.select("b", "a"))
+            best = ends.groupBy("a").agg(F.min(F.struct(rank("b").alias("r"), F.col("b").alias("n"))).alias("m"))
+            step = best.select(F.col("a").alias("old"), F.when(F.col("m.r") < rank("a"), F.col("m.n")).otherwise(F.col("a")).alias("new"))
+            step = ws.save(step, f"{name}-s{k}")
+        if pointer is None:
+            pointer2 = step.select(F.col("old").alias("node"), F.col("new").alias("leader"))
+        else:
+            pointer2 = pointer.join(step, pointer.leader == step.old, "left").select("node", F.coalesce("new", "leader").alias("leader"))
+        if n <= one_task:
+            if not k:
+                return pointer2.withColumnRenamed("leader", "component")
+            pointer = ws.save(pointer2, f"{name}-p{k + 1}")
             break
-        rank = lambda c: F.xxhash64(F.col(c), F.lit(k))
-        ends = edges.select("a", "b").union(edges.select("b", "a"))
-        best = ends.groupBy("a").agg(F.min(F.struct(rank("b").alias("r"), F.col("b").alias("n"))).alias("m"))
-        step = best.select(F.col("a").alias("old"), F.when(F.col("m.r") < rank("a"), F.col("m.n")).otherwise(F.col("a")).alias("new"))
-        step = ws.save(step, f"{name}-s{k}")
-        pointer2 = pointer.join(step, pointer.leader == step.old, "left").select("node", F.coalesce("new", "leader").alias("leader"))
         pointer2 = ws.save(pointer2, f"{name}-p{k + 1}")
         e = edges.join(step.select(F.col("old").alias("a"), F.col("new").alias("a2")), "a")
         e = e.join(step.select(F.col("old").alias("b"), F.col("new").alias("b2")), "b")
         e = e.where("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct()
         edges2 = ws.save(e, f"{name}-e{k + 1}")
-        for old in (f"{name}-p{k}", f"{name}-e{k}", f"{name}-s{k}"):
+        for old in (f"{name}-p{k}", f"{name}-e{k}"):
             ws.drop(old)
+        if k:
+            ws.drop(f"{name}-s{k}")
         pointer, edges = pointer2, edges2
     else:
         raise RuntimeError(f"components: {max_rounds} rounds did not contract the graph")
+    if pointer is None:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))  # no edge, no node
     least = pointer.groupBy("leader").agg(F.min("node").alias("component"))
-    return pointer.join(least, "leader").select("node", "component")
+    return join_few(pointer, least, "leader").select("node", "component")
+
+
+def join_few(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Joins facts (one row a key). They are broadcast if counted to be few, so that rows of a hot key stay where they are; else both sides are shuffled, and AQE may split hot keys."""
+    return rows.join(F.broadcast(facts) if facts.count() <= BROADCAST_IDS else facts, key, how)
 
 
 #: So many ids are broadcast (8 MB); more are joined by shuffling.

@@ -2,11 +2,17 @@
 
 Equal vectors are one node. A neighbour graph starts from windows along several random-hyperplane orders and
 is refined by joining neighbours of neighbours: members of a node's neighbourhood (both directions) are
-compared with each other, and each keeps its K best. Lists full of links are saturated: their components of
-the threshold graph are collapsed to a few members and the descent is repeated, so that such groups meet what
-their full lists hid; then a saturated list is enlarged to its whole component, whose links are counted
-exactly, block by block, without writing pairs; so are those of all other components. An audit compares sampled nodes with all others in
-blocks; while its recall is below RECALL, descent goes on, with new orders, and after MOST_ROUNDS of them the query fails. Links are decided in double precision.
+compared with each other, and each keeps its K best. Links of the lists, decided in double precision, make components.
+
+A list full of links is saturated and may hide others. So from the second turn on lists are enlarged by K places for
+neighbours outside of the node's own component: the descent goes on over all nodes, along new orders (which now also pass
+by neighbours of the own component) and by neighbours of neighbours through the lists inside of components, until no
+component hides another one's members. Then every component's links are counted exactly, block by block,
+without writing pairs, so a link is found if its ends share a component.
+
+After each turn an audit compares newly sampled nodes with all others in blocks, before their links are merged; turns go on
+while its recall, over links or averaged over nodes, is below RECALL. After MOST_ROUNDS of them blocks of all nodes are compared
+for links between components, which costs their square but loses nothing. The recall of each turn is logged.
 
 Defined cases: null or zero vectors and vectors with a null or non-finite component link with nothing;
 so do vectors of different length with each other; a null vec_id is a row that has its vector's class;
@@ -16,6 +22,7 @@ ties and repeated rows are links like any other; extra columns are ignored; an e
 from __future__ import annotations
 
 import hashlib
+import logging
 import math
 from collections.abc import Iterator
 
@@ -24,16 +31,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import Workspace, batch_rows, components
+from millrace.llm._shared import Workspace, batch_rows, components, join_few, spanning
 
 LEAST = 0.9
 #: Neighbours kept, orders to start from, window in an order, passes, and the audit's sample and aim.
 K, ORDERS, WINDOW, PASSES = 10, 6, 4, 3
-AUDIT, RECALL, MOST_ROUNDS = 256, 0.995, 4
+AUDIT, RECALL, MOST_ROUNDS = 1024, 0.998, 4
 #: The descent's similarities are of rounded components: so much below the threshold is looked at exactly.
 SLACK = 0.03
-#: Members that stand for a collapsed component; nodes of a block when a component's links are counted.
-STANDING, BLOCK = 8, 512
+#: Nodes of a block when a component's links are counted, and when all nodes are compared.
+BLOCK, REST = 512, 8192
+
+_log = logging.getLogger(__name__)
 
 
 def prepare(vectors: DataFrame) -> DataFrame:
@@ -77,7 +86,10 @@ def _edges(a: np.ndarray, b: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
 
 
 def start(nodes: DataFrame, dim: int, n: int, seed: int, orders: int = ORDERS, window: int = WINDOW) -> DataFrame:
-    """Edges between nodes that are near each other in orders by random hyperplanes; range partitioning keeps the orders balanced."""
+    """Edges between nodes of different components that are near each other in orders by random hyperplanes; range partitioning keeps the orders balanced.
+
+    Besides the window each node meets the nearest node of another component on both sides, however many of its own lie between.
+    """
     bits = max(1, min(24, math.ceil(math.log2(max(2, n / 8)))))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,58 +102,69 @@ def start(nodes: DataFrame, dim: int, n: int, seed: int, orders: int = ORDERS, w
                 x = u @ planes[r].T
                 where = (x[:, :bits] > 0) @ (1 << np.arange(bits)[::-1])
                 where = where ^ (where >> 1) ^ (where >> 2) ^ (where >> 4) ^ (where >> 8) ^ (where >> 16)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), r), pa.int32()), pa.array(where.astype(np.int64)), pa.array(x[:, bits].astype(np.float64)), b.column("node"), b.column("code")], ["r", "at", "along", "node", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), r), pa.int32()), pa.array(where.astype(np.int64)), pa.array(x[:, bits].astype(np.float64)), b.column("node"), b.column("component"), b.column("code")], ["r", "at", "along", "node", "component", "code"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: pa.RecordBatch | None = None
+        last: pa.Table | None = None
         for b in batches:
-            whole = pa.Table.from_batches([last, b]).combine_chunks() if last is not None else pa.Table.from_batches([b])
-            if whole.num_rows:
-                u, node, r = _unit32(whole.column("code")), whole.column("node").to_numpy(), whole.column("r").to_numpy()
-                for j in range(1, min(window, whole.num_rows - 1) + 1):
-                    same = r[:-j] == r[j:]
-                    sim = np.einsum("ij,ij->i", u[:-j][same], u[j:][same])
-                    x, y = node[:-j][same], node[j:][same]
-                    yield _edges(np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([sim, sim]))
-                last = pa.RecordBatch.from_pylist(whole.slice(max(0, whole.num_rows - window)).to_pylist(), schema=b.schema)
+            whole = pa.Table.from_batches([b])
+            whole = pa.concat_tables([last, whole]).combine_chunks() if last is not None else whole
+            n = whole.num_rows
+            if n > 1:
+                u, node, group, r = _unit32(whole.column("code").combine_chunks()), *(whole.column(c).to_numpy() for c in ("node", "component", "r"))
+                ends = [np.arange(j, n) for j in range(1, min(window, n - 1) + 1)]
+                pairs = [(y - j, y) for j, y in enumerate(ends, 1)]
+                cut = np.flatnonzero(group[1:] != group[:-1]) + 1  # where runs of one component end
+                run = np.searchsorted(cut, np.arange(n), "right")
+                later, earlier = np.flatnonzero(run > 0), np.flatnonzero(run < len(cut))
+                pairs += [(cut[run[later] - 1] - 1, later), (earlier, cut[run[earlier]])] if len(cut) < n - 1 else []
+                for i, j in pairs:
+                    keep = (r[i] == r[j]) & (group[i] != group[j])
+                    i, j = i[keep], j[keep]
+                    sim = np.einsum("ij,ij->i", u[i], u[j])
+                    yield _edges(np.concatenate([node[i], node[j]]), np.concatenate([node[j], node[i]]), np.concatenate([sim, sim]))
+            last = whole.slice(max(0, n - window))
 
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = nodes.select("node", "code").mapInArrow(place, "r int, at long, along double, node long, code binary")
+    rows = nodes.select("node", "component", "code").mapInArrow(place, "r int, at long, along double, node long, component long, code binary")
     return rows.repartitionByRange(parts, "r", "at", "along", "node").sortWithinPartitions("r", "at", "along", "node").mapInArrow(link, _EDGES)
 
 
 def best(edges: DataFrame, k: int) -> DataFrame:
-    """The k best different neighbours of each node."""
-    one = edges.groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    """The k best different neighbours of each node, one shuffle by node: a node meets no more edges than its neighbourhoods hold."""
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = edges.repartition(parts, "a").groupBy("a", "b").agg(F.max("sim").alias("sim"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
     return one.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
-def refine(lists: DataFrame, nodes: DataFrame, k: int, near: float = LEAST - SLACK) -> DataFrame:
-    """Edges that comparing the members of each neighbourhood finds, if they beat a member's last neighbour: the four best, and all above ``near``.
+def refine(lists: DataFrame, inner: DataFrame | None, nodes: DataFrame, k: int, near: float = LEAST - SLACK) -> DataFrame:
+    """Edges between components that comparing the members of each neighbourhood finds, if they beat a member's last neighbour: the four best, and all above ``near``.
 
-    A neighbourhood is a node, its neighbours and at most k of those that have it as neighbour, the best
-    ones: neighbours beyond come in by the lists of others and by later passes.
+    A neighbourhood is a node, its neighbours (in ``lists``, and in its own component's lists ``inner``) and at most k of those that
+    have it as neighbour, the best ones: neighbours beyond come in by the lists of others and by later passes.
     """
     back = best(lists.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"), k)
-    around = lists.select("a", "b").union(back.select("a", "b")).union(nodes.select("node", F.col("node").alias("b"))).distinct()
+    around = lists.select("a", "b").union(back.select("a", "b")).union(nodes.select("node", F.col("node").alias("b")))
+    if inner is not None:  # only around nodes that have a neighbour in another component, or are one
+        around = around.union(inner.select("a", "b").join(lists.select("a").union(back.select("a")).distinct(), "a", "left_semi"))
     least = lists.groupBy("a").agg(F.min("sim").alias("least"), F.count("*").alias("n")).select("a", F.when(F.col("n") < k, -1.0).otherwise(F.col("least")).alias("least"))
-    facts = nodes.join(least, nodes.node == least.a, "left").select("node", "code", F.coalesce("least", F.lit(-1.0)).alias("least"))
-    rows = around.join(facts, around.b == facts.node).select("a", "node", "code", "least")
+    facts = nodes.join(least, nodes.node == least.a, "left").select("node", "component", "code", F.coalesce("least", F.lit(-1.0)).alias("least"))
+    rows = around.join(facts, around.b == facts.node).select("a", "node", "component", "code", "least")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def run(t: pa.Table) -> pa.RecordBatch:
-            centre, node, least = (t.column(c).to_numpy() for c in ("a", "node", "least"))
-            u = _unit32(t.column("code"))
+            centre, node, group, least = (t.column(c).to_numpy() for c in ("a", "node", "component", "least"))
+            u = _unit32(t.column("code").combine_chunks())
             cut = np.flatnonzero(np.diff(centre)) + 1
-            out: list[tuple] = []
+            out: list[tuple] = [(node[:0], node[:0], least[:0])]
             for i, j in zip([0, *cut], [*cut, len(centre)], strict=True):
                 s = u[i:j] @ u[i:j].T
-                np.fill_diagonal(s, -2)
+                s[group[i:j, None] == group[None, i:j]] = -2
                 best4 = np.partition(s, -min(4, j - i), axis=1)[:, -min(4, j - i)][:, None] - 1e-6
-                x, y = np.nonzero(s > np.maximum(least[i:j, None], np.minimum(best4, near)))
+                x, y = np.nonzero((s > -2) & (s > np.maximum(least[i:j, None], np.minimum(best4, near))))
                 out.append((node[i + x], node[i + y], s[x, y]))
             return _edges(*(np.concatenate([o[c] for o in out]) for c in range(3)))
 
@@ -162,15 +185,20 @@ def refine(lists: DataFrame, nodes: DataFrame, k: int, near: float = LEAST - SLA
     return rows.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(compare, _EDGES)
 
 
-def descend(nodes: DataFrame, ws: Workspace, name: str, dim: int, seed: int, k: int = K, passes: int = PASSES, near: float = LEAST - SLACK) -> DataFrame:
-    """(a, b, sim): the neighbour lists after the passes. Orders grow with n, and double from the third round on."""
+def descend(nodes: DataFrame, before: DataFrame | None, ws: Workspace, name: str, dim: int, seed: int, k: int = K, passes: int = PASSES, near: float = LEAST - SLACK) -> tuple[DataFrame, DataFrame | None]:
+    """(a, b, sim): lists of neighbours in other components after the passes, and those of the own component; ``nodes`` holds node, component, code, ``before`` the lists so far. Orders grow with n."""
     n = nodes.count()
     orders = math.ceil(ORDERS * max(1.0, math.log2(max(2, n)) / 16)) << max(0, seed - 1)
-    lists = ws.save(best(start(nodes, dim, n, seed, orders), k), f"{name}-0")
+    lists, inner = start(nodes, dim, n, seed, orders), None
+    if before is not None:
+        side = lambda c: nodes.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+        split = ws.save(before.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sim", (F.col("a_in") == F.col("b_in")).alias("own")), f"{name}-split")
+        inner, lists = split.where("own").drop("own"), lists.union(split.where("not own").drop("own"))
+    lists = ws.save(best(lists, k), f"{name}-0")
     for p in range(1, passes + 1):
-        lists = ws.save(best(lists.union(refine(lists, nodes, k, near)), k), f"{name}-{p}")
+        lists = ws.save(best(lists.union(refine(lists, inner, nodes, k, near)), k), f"{name}-{p}")
         ws.drop(f"{name}-{p - 1}")
-    return lists
+    return lists, inner
 
 
 def exact(pairs: DataFrame, units: DataFrame, least: float) -> DataFrame:
@@ -188,32 +216,31 @@ def exact(pairs: DataFrame, units: DataFrame, least: float) -> DataFrame:
     return x.mapInArrow(run, _EDGES)
 
 
-def audit(nodes: DataFrame, found: DataFrame, least: float, sample: int = AUDIT) -> tuple[float, DataFrame]:
-    """Recall over all links of sampled nodes, which are compared with all nodes; and the true links (a, b).
+def audit(nodes: DataFrame, least: float, seed: int, sample: int) -> tuple[float, DataFrame]:
+    """Recall of the links of sampled nodes, which are compared with all nodes, and those links (a, b).
 
-    ``found`` holds (node, component): a link counts as found if its ends share a component, as then the
-    component's lists are or can be enlarged to hold it.
+    ``nodes`` holds node, component, unit. A link counts as found if its ends share a component, as the links of components are
+    counted exactly. Recall is the lesser of that over all links and that averaged over the sampled nodes that have links.
     """
     spark = nodes.sparkSession
-    rows = nodes.orderBy(F.xxhash64("node", F.lit(11)), "node").select("node", "unit").limit(sample).collect()
-    ids, q = np.array([r[0] for r in rows]), np.array([np.frombuffer(r[1]) for r in rows])
-    sent = spark.sparkContext.broadcast((ids, q))  # at most `sample` vectors
+    rows = nodes.orderBy(F.xxhash64("node", F.lit(seed)), "node").select("node", "component", "unit").limit(sample).collect()
+    ids, within, q = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), np.array([np.frombuffer(r[2]) for r in rows])
+    sent = spark.sparkContext.broadcast((ids, within, q))  # at most `sample` vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = sent.value
+        ids, within, q = sent.value
         for b in batches:
             if b.num_rows and len(q):
                 s = q @ _matrix(b.column("unit"), np.float64).T
                 x, y = np.nonzero(s >= least)
-                other = b.column("node").to_numpy()[y]
+                other, group = b.column("node").to_numpy()[y], b.column("component").to_numpy()[y]
                 keep = ids[x] != other
-                yield _edges(np.minimum(ids[x], other)[keep], np.maximum(ids[x], other)[keep], s[x, y][keep])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[x][keep]), pa.array(other[keep]), pa.array((within[x] == group)[keep])], ["a", "b", "found"])
 
-    true = nodes.select("node", "unit").mapInArrow(run, _EDGES).select("a", "b").distinct()
-    side = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
-    both = true.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    n, hit = both.agg(F.count("*"), F.count(F.when(F.col("a_in") == F.col("b_in"), 1))).first()
-    return (hit / n if n else 1.0), true
+    true = nodes.select("node", "component", "unit").mapInArrow(run, "a long, b long, found boolean")
+    each = true.groupBy("a").agg(F.count("*").alias("n"), F.count(F.when(F.col("found"), 1)).alias("hit"))
+    n, hit, mean = each.agg(F.sum("n"), F.sum("hit"), F.avg(F.col("hit") / F.col("n"))).first()
+    return (min(hit / n, mean) if n else 1.0), true.where("not found").select("a", "b")
 
 
 def counted(members: DataFrame, least: float) -> DataFrame:
@@ -222,10 +249,12 @@ def counted(members: DataFrame, least: float) -> DataFrame:
     Nodes are dealt to blocks of about BLOCK; each pair of blocks of a component is one group, which
     passes on a count for each node only.
     """
-    sizes = members.groupBy("component").agg(F.count("*").alias("size"))
-    rows = members.join(sizes, "component").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sizes = members.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
+    rows = join_few(members, sizes, "component", "left").withColumn("blocks", F.ceil(F.coalesce("size", F.lit(1)) / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("node", "copies", "unit", "component", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "component", "x", "y")  # else the groups of a component would stay in one task
 
     def run(t: pa.Table) -> pa.Table:
         node, copies, block, u = t.column("node").to_numpy(), t.column("copies").to_numpy(), t.column("block").to_numpy(), _matrix(t.column("unit").combine_chunks(), np.float64)
@@ -244,6 +273,31 @@ def counted(members: DataFrame, least: float) -> DataFrame:
     return rows.groupBy("component", "x", "y").applyInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
+def compare_rest(nodes: DataFrame, least: float, block: int = REST) -> DataFrame:
+    """(a, b): links between components that, with those inside, connect whatever is linked, by comparing all nodes (node, component, unit) in pairs of blocks."""
+    blocks = max(1, -(-nodes.count() // block))
+    rows = nodes.select("node", "component", "unit", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(blocks)).cast("int").alias("block"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("other")
+
+    def run(t: pa.Table) -> pa.Table:
+        node, block, u = t.column("node").to_numpy(), t.column("block").to_numpy(), _matrix(t.column("unit").combine_chunks(), np.float64)
+        _, group = np.unique(t.column("component").to_numpy(), return_inverse=True)
+        i, j = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        label, a, b = np.arange(group.max() + 1), [node[:0]], [node[:0]]
+        for p in range(0, len(i), 256):
+            x, y = np.nonzero(u[i[p : p + 256]] @ u[j].T >= least)
+            x, y = i[p + x], j[y]
+            g, h = label[group[x]], label[group[y]]
+            _, first = np.unique(np.minimum(g, h) * len(label) + np.maximum(g, h), return_index=True)
+            first = first[g[first] != h[first]]  # one link of each two components not connected yet
+            a.append(node[x[first]]), b.append(node[y[first]])
+            label = spanning(len(label), [(np.arange(len(label)), label), (g[first], h[first])])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "x", "y").groupBy("x", "y").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(vectors: DataFrame, least: float = LEAST, k: int = K) -> DataFrame:
     """vec_id, n_links, component_id (the smallest vec_id reachable by links), kept."""
     spark = vectors.sparkSession
@@ -255,52 +309,44 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, k: int = K) -> Dat
     every, counts = None, None
     for dim in dims:
         nodes = ws.read("classes", classes).where(F.octet_length("code") == dim)
-        found, links, name = _linked(nodes, ws, dim, least, k)
+        found, links = _linked(nodes, ws, dim, least, k)
         every = found if every is None else every.union(found)
         counts = links if counts is None else counts.union(links)
     if every is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     table = classes.join(every, "node", "left").join(counts, "node", "left").select("key", "rep", "copies", F.coalesce("component", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
-    least_id = table.groupBy("root").agg(F.min("rep").alias("component_id"))
-    table = ws.save(table.join(least_id, "root").select("key", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links")), "table")
+    least_id = classes.join(every, "node").groupBy(F.col("component").alias("root")).agg(F.min("rep").alias("least"))
+    table = join_few(table, ws.save(least_id, "least"), "root", "left").select("key", F.coalesce("least", "rep").alias("component_id"), (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    table = ws.save(table, "table")
     out = rows.join(table, "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def standing(members: DataFrame, most: int = STANDING, salts: int = 64) -> DataFrame:
-    """At most ``most`` nodes of each component, the first by hash: first of each salted part of it, then of all parts."""
-    parts = members.select("component", "node", F.xxhash64("node").alias("h")).withColumn("salt", F.pmod("h", F.lit(salts)))
-    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h", "node"))
-    parts = parts.withColumn("rank", rank("component", "salt")).where(F.col("rank") <= most)
-    return parts.withColumn("rank", rank("component")).where(F.col("rank") <= most).select("node")
-
-
-def _linked(nodes: DataFrame, ws: Workspace, dim: int, least: float, k: int) -> tuple[DataFrame, DataFrame, str]:
+def _linked(nodes: DataFrame, ws: Workspace, dim: int, least: float, k: int) -> tuple[DataFrame, DataFrame]:
     """(node, component) of linked nodes, and (node, links) with the number of other vectors that each links with."""
-    edges, working = None, nodes.select("node", "code")
-    slack = least - SLACK
-    for turn in range(MOST_ROUNDS):
+    edges, found, lists, slack = None, None, None, least - SLACK
+    labelled = nodes.select("node", "code", "unit", F.col("node").alias("component"))
+    for turn in range(MOST_ROUNDS + 1):
         name = f"d{dim}-{turn}"
-        lists = descend(working, ws, name, dim, seed=turn, k=k, near=slack)
-        near = lists.where(F.col("sim") >= slack)
-        pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        linked = exact(pairs, nodes, least).select("a", "b")
-        edges = ws.save((linked if edges is None else edges.union(linked)).distinct(), f"{name}-edges")
+        if turn < MOST_ROUNDS:
+            lists, inner = descend(labelled.select("node", "component", "code"), lists, ws, name, dim, seed=turn, k=k, near=slack)
+            near = lists.where(F.col("sim") >= slack)
+            new = exact(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes, least).select("a", "b")
+            full = not near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= k).isEmpty()
+            lists = lists if inner is None else ws.save(lists.union(inner), f"{name}-lists")
+        else:
+            _log.warning("op4: comparing all vectors in blocks, as the audited recall is below %s", RECALL)
+            new = compare_rest(labelled, least)
+        edges = ws.save(new if edges is None else edges.union(new), f"{name}-edges")
         found = ws.save(components(ws, edges, f"{name}-c"), f"{name}-found")
-        full = near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("a").alias("node"))
-        full = ws.save(found.join(full, "node", "left_semi").select("component").distinct(), f"{name}-full")
-        recall, true = audit(nodes, found, least)
-        edges = ws.save(edges.union(true).distinct(), f"{name}-edges2")
-        if turn and recall >= RECALL:
+        if turn == MOST_ROUNDS:
             break
-        if turn == 0 and full.isEmpty() and recall >= RECALL:
+        labelled = nodes.join(found, "node", "left").select("node", "code", "unit", F.coalesce("component", "node").alias("component"))
+        labelled = ws.save(labelled, f"{name}-labelled")
+        recall, missed = audit(labelled, least, turn, AUDIT)
+        _log.info("op4: turn %d, audited recall %.4f", turn, recall)
+        if recall >= RECALL and (turn or not full):
             break
-        inside = found.join(full, "component", "left_semi")
-        away = inside.select("node").join(standing(inside), "node", "left_anti")
-        working = nodes.select("node", "code").join(away, "node", "left_anti")
-    else:
-        raise RuntimeError(f"op4: audited recall {recall:.4f} after {MOST_ROUNDS} rounds, {RECALL} wanted")
-    found = ws.save(components(ws, edges, f"{name}-e"), f"{name}-all")
+        edges = ws.save(edges.union(missed), f"{name}-edges2")  # the next audit samples other nodes
     members = found.join(nodes.select("node", "copies", "unit"), "node")
-    links = ws.save(counted(members, least), f"{name}-links")
-    return found, links, name
+    return found, ws.save(counted(members, least), f"d{dim}-links")

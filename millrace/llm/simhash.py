@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import Workspace, batch_rows, components, drop_ids
+from millrace.llm._shared import Workspace, batch_rows, components, drop_ids, spanning
 
 #: Words of a shingle, differing bits of a link.
 SHINGLE, RADIUS = 4, 4
@@ -111,22 +111,6 @@ def near_pairs(a: np.ndarray, b: np.ndarray, radius: int = RADIUS) -> Iterator[t
                 yield i[x], j[y]
 
 
-def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Label of each of n nodes: the smallest node that the pairs connect it with."""
-    label = np.arange(n)
-    for x, y in pairs:
-        while True:
-            a, b = label[x], label[y]
-            differ = a != b
-            if not differ.any():
-                break
-            x, y = x[differ], y[differ]
-            np.minimum.at(label, np.maximum(a, b)[differ], np.minimum(a, b)[differ])
-            while (label[label] != label).any():
-                label = label[label]
-    return label
-
-
 def offsets(blocks: int, radius: int) -> list[tuple[int, ...]]:
     """Differences of cells that can hold linked fingerprints, one of each pair of opposite ones."""
     every: list[tuple[int, ...]] = [()]

@@ -43,6 +43,8 @@ def test_components(spark):
     got = dict(map(tuple, components(ws, spark.createDataFrame(edges, "a long, b long"), "t").collect()))
     want = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 8: 8, 9: 8, 10: 8} | {100 + i: 100 for i in range(61)} | {1000 + i: 1000 for i in range(200)}
     assert got == want
+    for most in (0, 20, 150):  # rounds, and one task for what they leave
+        assert dict(map(tuple, components(ws, spark.createDataFrame(edges, "a long, b long"), f"t{most}", one_task=most).collect())) == want
     assert components(ws, spark.createDataFrame([], "a long, b long"), "e").count() == 0
 
 
@@ -224,29 +226,62 @@ def test_neighbours(spark):
     odd = [(2000, None), (2001, [0.0] * 16), (2002, [1.0] * 15 + [None]), (2003, [float("nan")] * 16), (2004, [1.0, 2.0]), (2005, [2.0, 4.0]), (2006, []), (2007, [float("inf")] * 16)]
     df = spark.createDataFrame([(*x, 1) for x in v + odd], "vec_id long, embedding array<float>, node int")
     got = {r.vec_id: r for r in neighbours.near_duplicates(df).collect()}
-    x = np.array([r[1] for r in v], np.float64)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    s = x @ x.T >= 0.9
-    np.fill_diagonal(s, False)
-    label = simhash.spanning(len(x), iter([np.nonzero(s)]))
-    assert [got[i].n_links for i in range(len(x))] == s.sum(1).tolist()
-    assert [got[i].component_id for i in range(len(x))] == label.tolist()
+    links, label = links_of(np.array([r[1] for r in v], np.float64))
+    assert [got[i].n_links for i in range(len(v))] == links
+    assert [got[i].component_id for i in range(len(v))] == label
     assert [got[i].n_links for i in range(2000, 2008)] == [0, 0, 0, 0, 1, 1, 0, 0] and got[2005].component_id == 2004
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
     assert neighbours.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_neighbours_count_all_links_or_fail(spark, monkeypatch):
-    rows = [(i, [1.0, 0.1 * i, 0.0, 0.0]) for i in range(3)] + [(9, [0.0, 0.0, 1.0, 1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    exact, none = neighbours.exact, spark.createDataFrame([], "a long, b long")
-    monkeypatch.setattr(neighbours, "exact", lambda *x: exact(*x).orderBy("a", "b").limit(2))  # one of three links isn't met
-    monkeypatch.setattr(neighbours, "audit", lambda *x: (1.0, none))
-    assert {r.vec_id: r.n_links for r in neighbours.near_duplicates(df).collect()} == {0: 2, 1: 2, 2: 2, 9: 0}
-    monkeypatch.setattr(neighbours, "MOST_ROUNDS", 1)
-    monkeypatch.setattr(neighbours, "audit", lambda *x: (0.5, none))
-    with pytest.raises(RuntimeError, match="recall"):
-        neighbours.near_duplicates(df)
+def links_of(x):
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T >= 0.9
+    np.fill_diagonal(s, False)
+    return s.sum(1).tolist(), simhash.spanning(len(x), iter([np.nonzero(s)])).tolist()
+
+
+def rows_of(df):
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in neighbours.near_duplicates(df).collect())
+    return [n for _, n, _ in got], [c for _, _, c in got]
+
+
+def groups_of_vectors(rng, sizes, dim=24, spread=0.07):
+    return np.concatenate([rng.standard_normal(dim) + spread * rng.standard_normal((n, dim)) for n in sizes]).astype(np.float32).astype(np.float64)
+
+
+def test_neighbours_in_groups_of_many_sizes(spark):
+    x = groups_of_vectors(np.random.default_rng(21), [1] * 600 + [2, 3, 5, 9, 10, 11, 12, 25] * 12 + [150, 700])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(5)
+    assert rows_of(df) == links_of(x)
+
+
+def test_neighbours_behind_full_lists(spark):
+    """Dense groups whose only links are those between a few border members, whose lists are full of closer ones."""
+    rng, rows = np.random.default_rng(22), []
+    for _ in range(12):
+        a, b = np.linalg.qr(rng.standard_normal((24, 2)))[0].T
+        for middle, border in ((0.0, 0.3), (0.95, 0.63)):  # angles: the middles are 0.95 apart, links reach 0.45
+            angles = np.concatenate([middle + 0.01 * rng.standard_normal(30), border + 0.003 * rng.standard_normal(14)])
+            rows += [math.cos(t) * a + math.sin(t) * b + 0.004 * rng.standard_normal(24) for t in angles]
+    x = np.array(rows).astype(np.float32).astype(np.float64)
+    want = links_of(x)
+    assert len(set(want[1])) == 12
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    assert rows_of(df) == want
+
+
+def test_neighbours_without_descent(spark, monkeypatch):
+    """If the descent finds nothing, the audit says so each turn, and all vectors are compared."""
+    x = groups_of_vectors(np.random.default_rng(23), [1] * 100 + [2, 3, 11, 30] * 8)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(neighbours, "descend", lambda nodes, *a, **k: (spark.createDataFrame([], neighbours._EDGES), None))
+    monkeypatch.setattr(neighbours, "AUDIT", 20)
+    recalls, audit = [], neighbours.audit
+    monkeypatch.setattr(neighbours, "audit", lambda *a: recalls.append(audit(*a)) or recalls[-1])
+    monkeypatch.setattr(neighbours, "REST", 100)
+    assert rows_of(df) == links_of(x)
+    assert len(recalls) == neighbours.MOST_ROUNDS and all(r < 0.9 for r, _ in recalls)
 
 
 # -- mixing
