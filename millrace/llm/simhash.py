@@ -4,22 +4,32 @@ A level of the tree has vantage points that differ from each other in half of th
 Hadamard matrix: two on the first level, four on the second. Their distances to a fingerprint say how far it is
 from the first of them within each half, or quarter, of the bits, and these form its cell. By the triangle
 inequality, taken over all vantage points of the level, two fingerprints at distance r or less lie in cells whose
-coordinates differ by r at most in sum. So each fingerprint also visits the overlapping cells on one side (of two
-cells the later one is visited), spread over salted copies of the cell. Inside of a cell the quarters prune
-whole branches by the same bound before pairs are compared exactly. A cell passes on a spanning forest of its
+coordinates differ by r at most in sum. So each fingerprint visits its own cell and the overlapping ones on one side (of two
+cells the later one is visited). A cell's natives are dealt to blocks and its visitors to salts by their counted
+numbers, and each block meets each salt in one task of bounded size. Inside of a task the quarters prune
+whole branches by the same bound before pairs are compared exactly. A task passes on a spanning forest of its
 links, which keeps components whole without spelling out all pairs of a group of copies.
 
 Bounds of distance prune little among random fingerprints: of all pairs about 36 % are left by the first
 level and 13 % by the second. More than MANY fingerprints therefore begin at the second level.
 
+``keep_one`` is for similarity of shingles: Jaccard FIFTHS / 5 or more. There fingerprints have 128 bits, of which similar sets
+differ in about 20 and hardly ever in more than NEAR, while others differ in 64. No vantage point among the fingerprints prunes at
+such a radius. The empty text does: its distance from a set is the set's size, and sizes of similar sets differ by a quarter at
+most, so cells are bands of sizes. Pairs found are candidates, and their shingles decide: first each
+candidate meets a few partners, whatever the size of its group, and those found similar become components; then all candidates that
+are in different components yet are compared.
+
 Defined cases: a null text is the empty text; texts without words have fingerprint zero and link like
 any other; equal fingerprints are compared once, whatever their number; a null doc_id stays a row, has
-no say in the smallest doc_id, and gets its group's; other columns are ignored; an empty table gives
+no say in the smallest doc_id, and gets its group's; ``keep_one`` keeps the row of least doc_id (null last) of each component, one
+row if several have it, with all its columns, and a text of fewer words is one shingle; other columns are ignored; an empty table gives
 an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import Workspace, batch_rows, components, drop_ids, spanning
+from millrace.llm._shared import BROADCAST_IDS, Workspace, batch_rows, components, join_few, spanning
 
 #: Words of a shingle, differing bits of a link.
 SHINGLE, RADIUS = 4, 4
@@ -36,8 +46,10 @@ SHINGLE, RADIUS = 4, 4
 VANTAGE = 0x0F1E2D3C4B5A6978
 #: Distinct fingerprints from which the second level is used.
 MANY = 1 << 21
-#: Rows of a salted cell to aim at, and pairs from which a cell is split into branches.
-CELL_ROWS, BRANCH_PAIRS = 20_000, 4_000_000
+#: Natives of a block and visitors of a salt at most, about; pairs from which a task is split into branches.
+NATIVES, VISITORS, BRANCH_PAIRS = 100_000, 30_000, 4_000_000
+#: For ``keep_one``: words of a shingle, least Jaccard similarity in fifths, differing bits of 128, turns in which a candidate meets few partners, and parts of a group that choose theirs by themselves.
+WORDS, FIFTHS, NEAR, TURNS, PARTS = 5, 4, 40, 3, 8
 
 
 def signed(x: int) -> int:
@@ -56,10 +68,7 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
     n = max(1, len(words) - k + 1)
     last = ends[k - 1 :] if len(words) >= k else ends[-1:]
     h = np.fromiter([digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)], np.uint64, n)
-    counts = np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 16):
-        counts += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+    return int(majority(h))
 
 
 def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -119,40 +128,46 @@ def offsets(blocks: int, radius: int) -> list[tuple[int, ...]]:
     return [o for o in every if o > (0,) * blocks]
 
 
+def dealt(natives: DataFrame, visits: DataFrame, per_block: int | None = None, per_salt: int | None = None) -> DataFrame:
+    """Rows of both kinds (columns of ``visits``, and native) once for each task (cell, block, salt) that they take part in.
+
+    Natives and visitors of each cell are counted (a row a cell, of which there are a bounded number); cells without natives drop out.
+    """
+    per_block, per_salt = per_block or NATIVES, per_salt or VISITORS
+    n = natives.groupBy("cell").agg(F.count("*").alias("n"))
+    v = visits.groupBy("cell").agg(F.count("*").alias("v"))
+    cells = n.join(v, "cell").select("cell", F.ceil(F.col("n") / per_block).cast("int").alias("blocks"), F.ceil(F.col("v") / per_salt).cast("int").alias("salts"))
+    cells = F.broadcast(cells)  # at most 65 ** 2 or 17 ** 4 cells, or a band for each quarter more of size
+    part = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    home = natives.join(cells, "cell").withColumn("block", part("blocks")).withColumn("salt", each("salts")).withColumn("native", F.lit(True))
+    away = visits.join(cells, "cell").withColumn("salt", part("salts")).withColumn("block", each("blocks")).withColumn("native", F.lit(False))
+    parts = int(visits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return home.unionByName(away).drop("blocks", "salts").repartition(parts, "cell", "block", "salt")
+
+
 def links(fps: DataFrame, ws: Workspace, radius: int = RADIUS, levels: int = 0) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) that span the components at this radius."""
-    n = fps.count()
-    blocks = 2 ** (levels or (1 if n < MANY else 2))
+    blocks = 2 ** (levels or (1 if fps.count() < MANY else 2))
     width = 64 // blocks
-    salts = max(4, min(32, -(-n // (3 * CELL_ROWS))))
     far = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(signed(VANTAGE))).bitwiseAND(F.lit(signed(((1 << width) - 1) << width * k)))) for k in range(blocks)]
-    fps = fps.select("fp", F.array(*far).alias("far"))
+    fps = fps.select(F.col("fp").alias("node"), F.array(*far).alias("far"))
+    packed = lambda cell: F.aggregate(cell, F.lit(0), lambda a, x: a * 65 + x)
     at = lambda o: F.array(*((F.get("far", F.lit(k)) + x).cast("int") for k, x in enumerate(o)))
-    salt = F.pmod(F.xxhash64("fp"), F.lit(salts)).cast("int")
-    visits = F.array(*(F.struct(at(o).alias("cell"), salt.alias("salt"), F.lit(False).alias("native")) for o in offsets(blocks, radius)))
-    visits = F.filter(visits, lambda v: F.forall(v["cell"], lambda x: x.between(0, width)))
-    home = F.transform(F.sequence(F.lit(0), F.lit(salts - 1)), lambda s: F.struct(at((0,) * blocks).alias("cell"), s.alias("salt"), F.lit(True).alias("native")))
-    packed = F.aggregate("c.cell", F.lit(0), lambda a, x: a * 65 + x)
-    rows = fps.select("fp", F.explode(F.concat(home, visits)).alias("c")).select("fp", packed.alias("cell"), "c.salt", "c.native")
+    near = F.filter(F.array(*map(at, [(0,) * blocks, *offsets(blocks, radius)])), lambda c: F.forall(c, lambda x: x.between(0, width)))
+    natives = fps.select("node", packed(F.col("far")).alias("cell"))
+    visits = fps.select("node", F.explode(F.transform(near, packed)).alias("cell"))
 
     def search(table: pa.Table) -> pa.Table:
-        fp = table.column("fp").to_numpy().view(np.uint64)
+        fp = table.column("node").to_numpy().view(np.uint64)
         native = table.column("native").to_numpy(zero_copy_only=False)
         a, b = fp[native], fp[~native]
         both = np.concatenate([a, b])
-
-        def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for x, y in near_pairs(a, b, radius):
-                yield x, y + len(a)
-            if table.column("salt")[0].as_py() == 0:
-                for x, y in near_pairs(a, a, radius):
-                    yield x, y
-
-        label = spanning(len(both), found()) if len(a) else np.arange(len(both))
-        other = np.flatnonzero(label != np.arange(len(both)))
+        label = spanning(len(both), ((x, y + len(a)) for x, y in near_pairs(a, b, radius)))
+        other = np.flatnonzero(both[label] != both)
         return pa.table({"a": both[label[other]].view(np.int64), "b": both[other].view(np.int64)})
 
-    return ws.save(rows.groupBy("cell", "salt").applyInArrow(search, "a long, b long"), "links")
+    return ws.save(dealt(natives, visits).groupBy("cell", "block", "salt").applyInArrow(search, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -160,17 +175,166 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) ->
     ws = Workspace(docs.sparkSession)
     own = ws.save(fingerprints(docs, k), "fingerprints")
     fps = ws.save(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    found = components(ws, links(fps, ws, radius), "fp")
+    found = ws.save(components(ws, links(fps, ws, radius), "fp"), "found")
     member = fps.join(found, fps.fp == found.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
-    least = member.groupBy("root").agg(F.min("rep").alias("component_id"))
-    group = ws.save(member.join(least, "root").select("fp", "component_id"), "groups")
-    return own.join(group, "fp").select("doc_id", "fp", "component_id")
+    least = found.join(fps, fps.fp == found.node).groupBy(F.col("component").alias("root")).agg(F.min("rep").alias("least"))
+    group = join_few(member, ws.save(least, "least"), "root", "left").select("fp", F.when(F.col("least").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"))
+    return own.join(ws.save(group, "groups"), "fp").select("doc_id", "fp", "component_id")
 
 
 def op6(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The documents whose doc_id is the smallest of their group; rows without a doc_id stay."""
-    return drop_ids(docs, near_duplicates(docs, k, radius).where("doc_id <> component_id").select("doc_id"))
+def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the text's k-word shingles, mixed from those of its words."""
+    words = (text or "").encode().lower().split()  # bytes: ASCII white space and A-Z only
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(functools.partial(xxhash.xxh64_intdigest, seed=42), words), np.uint64, n)
+    x = np.zeros(max(1, n - k + 1), np.uint64)
+    for i in range(min(k, n)):
+        x = mixed(x) + h[i : i + len(x)]
+    return np.unique(mixed(x))
+
+
+def mixed(x: np.ndarray, by: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+    """A bijection of 64 bits in which each bit of the input changes about half of the bits."""
+    x = x + np.uint64(by)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def majority(h: np.ndarray) -> np.uint64:
+    """64 bits, each set if set in over half of the hashes."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(h), 1 << 16):
+        counts += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0]
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two sorted sets reaches FIFTHS / 5."""
+    both = len(np.intersect1d(a, b, assume_unique=True)) if 5 * min(len(a), len(b)) >= FIFTHS * max(len(a), len(b)) else 0
+    return 5 * both >= FIFTHS * (len(a) + len(b) - both)
+
+
+_SETS = "_row long, id long, node long, size long, f0 long, f1 long"
+
+
+def sets_of(rows: DataFrame) -> DataFrame:
+    """Of each whole text (_row, doc_id, text) the node (of equal sets of shingles), the set's size and 128-bit fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, size, f0, f1 = [], [], [], []
+            for t in b.column(2):
+                x = shingles(t.as_py())
+                node.append(xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63))
+                size.append(len(x))
+                f0.append(majority(x))
+                f1.append(majority(mixed(x, 0x632BE59BD9B4E019)))
+            prints = (pa.array(np.array(f, np.uint64).view(np.int64)) for f in (f0, f1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64()), *prints], [c.split()[0] for c in _SETS.split(", ")])
+
+    return rows.selectExpr("_row", "cast(doc_id as long) id", "text").mapInArrow(run, _SETS)
+
+
+def candidates(sets: DataFrame, turn: int, every: bool = False) -> DataFrame:
+    """Pairs (a, b) of nodes (node, size, f0, f1, component) of different components whose sizes and fingerprints allow for similarity.
+
+    Of each node's partners in a task one is passed on, that of least hash, which differs by the turn and among PARTS parts of the nodes;
+    so a group's nodes meet few others. With ``every`` all pairs are passed on.
+    """
+    band = F.floor(F.log("size") / np.log(1.26)).cast("int")
+    sets = sets.where("size > 0").withColumn("cell", band)
+    visits = sets.withColumn("cell", F.explode(F.array("cell", F.col("cell") + 1)))
+    names = ["node", "size", "f0", "f1", "component"]
+
+    def search(t: pa.Table) -> pa.Table:
+        native = t.column("native").to_numpy(zero_copy_only=False)
+        node, size, f0, f1, group = (t.column(c).to_numpy() for c in names)
+        f0, f1 = f0.view(np.uint64), f1.view(np.uint64)
+        by_size = np.argsort(size, kind="stable")
+        a, b = by_size[native[by_size]], by_size[~native[by_size]]
+        rank = [mixed(node[a].view(np.uint64), turn * PARTS + p + 1) for p in range(PARTS)]
+        part = (mixed(node.view(np.uint64), 99) % np.uint64(PARTS)).astype(int)
+        out: list[tuple[np.ndarray, np.ndarray]] = [(node[:0], node[:0])]
+        step = max(1, 400_000 // max(1, len(a)))
+        for i in range(0, len(b), step):
+            y = b[i : i + step]
+            low, high = np.searchsorted(size[a], [-(-FIFTHS * size[y[0]] // 5), 5 * size[y[-1]] // FIFTHS + 1])
+            x = a[low:high]
+            apart = np.bitwise_count(f0[y, None] ^ f0[None, x])
+            apart += np.bitwise_count(f1[y, None] ^ f1[None, x])
+            p, q = np.nonzero(apart <= NEAR)
+            keep = (group[y[p]] != group[x[q]]) & (5 * np.minimum(size[y[p]], size[x[q]]) >= FIFTHS * np.maximum(size[y[p]], size[x[q]]))
+            p, q = y[p[keep]], q[keep] + low
+            if every or not len(p):
+                out.append((node[p], node[a[q]]))
+                continue
+            here = np.stack(rank)[part[p], q]
+            first = np.lexsort((here, p))
+            first = first[np.concatenate([[True], p[first][1:] != p[first][:-1]])]  # of each visitor the partner of least hash
+            last = np.lexsort((mixed(node[p].view(np.uint64), turn), q))
+            last = last[np.concatenate([[True], q[last][1:] != q[last][:-1]])]  # and of each native
+            both = np.union1d(first, last)
+            out.append((node[p[both]], node[a[q[both]]]))
+        x, y = (np.concatenate([o[k] for o in out]) for k in range(2))
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return dealt(sets.select("cell", *names), visits.select("cell", *names)).groupBy("cell", "block", "salt").applyInArrow(search, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar; ``texts`` holds (node, text), a text for each node."""
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+    both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, None
+        for batch in batches:
+            keep = []
+            for b, x, y in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if b != at:  # rows of one b mostly follow each other
+                    at, own = b, shingles(y.as_py())
+                keep.append(similar(shingles(x.as_py()), own))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def similar_sets(sets: DataFrame, texts: DataFrame, ws: Workspace) -> DataFrame:
+    """(node, component) of the nodes (node, size, f0, f1) that are linked: Jaccard of their shingles FIFTHS / 5 or more."""
+    sets, edges = sets.withColumn("component", F.col("node")), None
+    for turn in range(TURNS + 1):
+        pairs = ws.save(candidates(sets, turn, every=turn == TURNS), f"pairs{turn}")
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        if not turn:  # what has no candidate now will have none later
+            sets = ws.save(join_few(sets, ws.save(ends, "ends"), "node", "left_semi"), "likely")
+            texts = ws.save(join_few(texts, ws.read("ends", ends), "node", "left_semi"), "texts")
+        new = ws.save(verified(pairs, texts), f"links{turn}")
+        edges = new if edges is None else edges.union(new)
+        found = ws.save(components(ws, edges, f"c{turn}"), f"found{turn}")
+        sets = ws.save(sets.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), f"labelled{turn}")
+        if pairs.isEmpty():
+            break
+    return found
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each component of similar documents, that of least doc_id."""
+    batch_rows(docs.sparkSession, 1000)
+    ws = Workspace(docs.sparkSession)
+    rows = ws.save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    own = ws.save(sets_of(rows), "sets")
+    least = F.min(F.struct(F.col("id").isNull(), "id", "_row")).alias("least")
+    nodes = ws.save(own.groupBy("node", "size", "f0", "f1").agg(least).select("*", F.col("least._row").alias("_row")), "nodes")
+    texts = rows.select("_row", "text").join(nodes.select("_row", "node"), "_row").select("node", "text")
+    found = similar_sets(nodes.select("node", "size", "f0", "f1"), texts, ws)
+    alone = nodes.join(found, "node", "left_anti").select("_row")
+    first = found.join(nodes, "node").groupBy("component").agg(F.min("least").alias("least")).select("least._row")
+    first = ws.save(alone.union(first), "first")
+    return rows.join(F.broadcast(first) if first.count() <= BROADCAST_IDS else first, "_row", "left_semi").select(*docs.columns)

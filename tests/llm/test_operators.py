@@ -346,7 +346,10 @@ def test_near_pairs_with_pruning(monkeypatch):
     assert got == {tuple(map(int, x)) for x in np.argwhere(d <= 4)}
 
 
-def test_links_join_all_that_is_near(spark):
+@pytest.mark.parametrize("natives,visitors", [(100_000, 30_000), (7, 5)])
+def test_links_join_all_that_is_near(spark, monkeypatch, natives, visitors):
+    monkeypatch.setattr(simhash, "NATIVES", natives)
+    monkeypatch.setattr(simhash, "VISITORS", visitors)
     rng = np.random.default_rng(4)
     centres = rng.integers(0, 1 << 63, 150, dtype=np.uint64)
     fps = np.unique(np.concatenate([centres] + [c ^ np.array([1 << int(x) for x in rng.integers(0, 64, 30)], np.uint64) for c in centres[:20]] + [np.zeros(1, np.uint64)]))
@@ -369,8 +372,9 @@ def test_simhash_rows(spark, docs, empty):
     assert len(got) == len(ODD)
     by = {i: (f, c) for i, f, c in got}
     assert by[0][1] == by[4][1] == 0 and by[1] == by[2] == by[5] == ("0" * 16, 1)
-    kept = simhash.keep_first(docs)
+    kept = simhash.keep_one(docs)
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["0", "1", "3", "6", "None"] and kept.columns == docs.columns
+    assert simhash.keep_one(empty).count() == 0
     assert simhash.op6(empty).count() == 0
 
 
@@ -618,8 +622,11 @@ def test_pipeline(spark):
     assert not set(q.oracle_sql()) - set(q.queries())
 
 
-def test_pipeline_keeps_one_of_similar_shingles(spark):
+@pytest.mark.parametrize("natives,visitors", [(100_000, 30_000), (40, 30)])
+def test_pipeline_keeps_one_of_similar_shingles(spark, monkeypatch, natives, visitors):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    monkeypatch.setattr(simhash, "NATIVES", natives)
+    monkeypatch.setattr(simhash, "VISITORS", visitors)
     rng = np.random.default_rng(12)
     rows = []
     for g in range(40):
@@ -629,6 +636,12 @@ def test_pipeline_keeps_one_of_similar_shingles(spark):
             for at in rng.integers(0, len(text), int(rng.integers(0, 1 + len(text) // 25))):
                 new[at] = f"n{rng.integers(0, 9)}"
             rows.append((len(rows), " ".join(new)))
+    text = [f"v{x}" for x in rng.integers(0, 3000, 120)]
+    for _ in range(150):  # a large group of near copies, many of which aren't similar to each other
+        new = list(text)
+        for at in rng.integers(0, 120, int(rng.integers(0, 4))):
+            new[at] = f"m{rng.integers(0, 99)}"
+        rows.append((len(rows), " ".join(new)))
     rows += [(7, rows[7][1]), (7, rows[7][1]), (None, rows[9][1]), (None, "alone"), (None, "alone"), (900, None), (901, " ")]
     sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {""} for w in ((t or "").split() for _, t in rows)]
     near = np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
