@@ -4,7 +4,9 @@ Base spans are e-mail addresses, IP addresses, card and phone numbers found by p
 protected entities. A term (a word of letters) reveals an entity as far as documents that hold the term hold the
 entity: with p = n(term, entity) / n(term) over all documents, the term gives log2(p / P(entity)) bits of the
 -log2 P(entity) that the entity is worth. A term that gives at least GENERALISE of them with p of at least
-LEAST_P, in at least LEAST_SUPPORT texts with the entity whose wording around it varies (so that copies of one text don't count), is a span in every document: generalised to its kind, or removed from REMOVE on.
+LEAST_P, and does so in LEAST_SUPPORT different texts, is a span in every document: generalised to its kind, or removed from REMOVE on.
+Copies of a text are one voice: least hashes of three-word shingles, which near copies mostly share, say how many different texts
+the documents with term and entity amount to (the inverse of the chance that two of them agree, the middle one of VOICES hashes).
 
 Matching runs linear in the text: possessive repeats, and anchors where a leftmost match can begin. Offsets
 come from the lengths of the pieces between the matches, in code points.
@@ -34,8 +36,7 @@ WORD = r"\p{L}++"
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 GENERALISE, REMOVE, LEAST_P, LEAST_SUPPORT = 0.8, 0.95, 0.5, 3
 LEAST_LETTERS = 3
-#: Share of a pair's texts that may have the same word next to the term on the side where words vary more.
-MOST_ALIKE = 0.5
+VOICES = 3
 
 
 def luhn(digits: Column) -> Column:
@@ -102,15 +103,13 @@ def revealing_terms(docs: DataFrame, based: DataFrame, ws: Workspace) -> DataFra
     words = F.filter(F.split(F.lower(F.col("text")), r"[^\p{L}]+"), lambda w: w != "")
     texts = held.groupBy("doc").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     near = entities.join(often, "entity").select("doc", "entity", "n_entity").distinct()
-    texts = ws.save(texts.join(near.select("doc").distinct(), "doc", "left_semi").withColumn("w", words).drop("text"), "words")  # so that words are split once, not for each neighbour
-    each = F.transform("w", lambda w, i: F.struct(w.alias("term"), F.xxhash64(F.get("w", i - 1)).alias("before"), F.xxhash64(F.get("w", i + 1)).alias("after")))
-    near = near.join(texts.select("doc", "copies", F.explode(each).alias("t")), "doc").select("doc", "copies", "entity", "n_entity", "t.*").where(F.length("term") >= LEAST_LETTERS)
+    voice = lambda k: F.array_min(F.transform("w", lambda w, i: F.xxhash64(w, F.get("w", i + 1), F.get("w", i + 2), F.lit(k))))
+    texts = texts.join(near.select("doc").distinct(), "doc", "left_semi").withColumn("w", words).select("doc", "copies", F.array_distinct("w").alias("w"), *(voice(k).alias(f"voice{k}") for k in range(VOICES)))
+    texts = ws.save(texts, "words")  # so that words are split once
+    near = near.join(texts.withColumn("term", F.explode("w")).drop("w"), "doc").where(F.length("term") >= LEAST_LETTERS)
     near = ws.save(near, "near")
     pair = ["entity", "n_entity", "term"]
-    # copies of a text mostly have one word before and after a term: on one side the most frequent word must be rare
-    modal = lambda side: near.groupBy(*pair, side).agg(F.count_distinct("doc").alias("n")).groupBy(*pair).agg(F.max("n").alias(f"most_{side}"))
-    support = near.select(*pair, "doc", "copies").distinct().groupBy(*pair).agg(F.count("*").alias("support"), F.sum("copies").alias("both")).where(F.col("support") >= LEAST_SUPPORT)
-    support = support.join(modal("before"), pair).join(modal("after"), pair).where(F.least("most_before", "most_after") <= MOST_ALIKE * F.col("support"))
+    support = near.groupBy(*pair).agg(F.count("*").alias("support"), F.sum("copies").alias("both")).where(F.col("support") >= LEAST_SUPPORT)
     # a term is in all documents at least as often as in those with entities, which bounds what it can tell before the corpus is read
     inside = based.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_inside"))
     n = docs.count()
@@ -118,7 +117,12 @@ def revealing_terms(docs: DataFrame, based: DataFrame, ws: Workspace) -> DataFra
     share = lambda p: 1 + F.log2(p) / worth
     most = F.col("both") / F.col("n_inside")
     pairs = support.join(inside, "term").where((most >= LEAST_P) & (share(most) >= GENERALISE)).drop("n_inside")
-    pairs = ws.save(pairs, "pairs")
+    pairs = ws.save(pairs, "likely")
+    said = near.join(F.broadcast(pairs.select(*pair)) if pairs.count() <= BROADCAST_IDS // 10 else pairs.select(*pair), pair, "left_semi")
+    each = said.select(*pair, F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"voice{k}").alias("voice")) for k in range(VOICES)))).alias("v"))
+    each = each.groupBy(*pair, "v.k", "v.voice").agg(F.count("*").alias("n")).groupBy(*pair, "k").agg((F.sum("n") * F.sum("n") / F.sum(F.col("n") * F.col("n"))).alias("texts"))
+    voices = each.groupBy(*pair).agg(F.array_sort(F.collect_list("texts"))[VOICES // 2].alias("texts")).where(F.col("texts") >= LEAST_SUPPORT)  # VOICES figures a pair
+    pairs = ws.save(pairs.join(voices.drop("texts"), pair), "pairs")
     wanted = ws.save(pairs.select("term").distinct(), "terms")
     if wanted.isEmpty():
         return ws.save(wanted.withColumn("share", F.lit(0.0)), "revealing")
