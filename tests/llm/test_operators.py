@@ -199,12 +199,18 @@ def test_kneser_ney(spark):
         assert math.isclose(sum(p(u, 1, w) for w in range(9)), 1, rel_tol=1e-9)
 
 
-def test_quality(spark, docs, empty):
-    d = "/root/testdata/sf0.01"
+def test_quality(spark, docs, empty, monkeypatch):
+    monkeypatch.setattr(quality, "LANGUAGE_ROWS", 30)
+    d = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{d}/labels.parquet")
     got = q.op3_quality(spark, d).join(labels, "doc_id").collect()
-    assert sum(not r.keep for r in got if r.quality) <= 2
+    assert sum(not r.keep for r in got if r.quality) <= 0.02 * sum(r.quality for r in got)
     assert sum(r.keep for r in got if not r.quality) <= 0.1 * sum(not r.quality for r in got)
+    for lang in {r.lang for r in got}:  # thresholds are quantiles of the language's held-out trusted texts, if it has enough of them
+        own = [r.adjusted for r in got if r.lang == lang and r.quality and zlib.crc32(str(r.doc_id).encode()) % 5 == 0 and r.n_tokens > 1]
+        limit = {r.threshold for r in got if r.lang == lang}
+        if len(own) >= quality.LANGUAGE_ROWS:
+            assert len(limit) == 1 and abs(np.quantile(np.floor(np.array(own) * 1000) / 1000, quality.FLOOR) - limit.pop()) < 2e-3
     real = spark.read.parquet(f"{d}/documents.parquet")
     mixed = real.select("doc_id", "text", "lang", "source").unionByName(docs.selectExpr("doc_id + 1000000 doc_id", "text", "lang", "source"))
     out = quality.assess(mixed, labels)
