@@ -48,8 +48,8 @@ VANTAGE = 0x0F1E2D3C4B5A6978
 MANY = 1 << 21
 #: Natives of a block and visitors of a salt at most, about; pairs from which a task is split into branches.
 NATIVES, VISITORS, BRANCH_PAIRS = 100_000, 30_000, 4_000_000
-#: For ``keep_one``: words of a shingle, least Jaccard similarity in fifths, differing bits of 128, turns in which a candidate meets few partners, and parts of a group that choose theirs by themselves.
-WORDS, FIFTHS, NEAR, TURNS, PARTS = 5, 4, 40, 3, 8
+#: For ``keep_one``: words of a shingle, least Jaccard similarity in fifths, differing bits of 128, turns in which a candidate meets few partners, parts of a group that choose theirs by themselves, and parts of the hashes whose shingles are counted.
+WORDS, FIFTHS, NEAR, TURNS, PARTS, BUCKETS = 5, 4, 40, 2, 8, 256
 
 
 def signed(x: int) -> int:
@@ -221,7 +221,23 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * both >= FIFTHS * (len(a) + len(b) - both)
 
 
-_SETS = "_row long, id long, node long, size long, f0 long, f1 long"
+def held(h: np.ndarray) -> bytes:
+    """How many of the hashes each bucket holds; all buckets are full, which bounds nothing, if one would be."""
+    n = np.bincount((h % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+    return np.where(n.max() < 0xFFFF, n, 0xFFFF).astype("<u2").tobytes()
+
+
+def may_be_similar(counts: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of pairs of rows (x, y), whether their sets can be similar by their bucket counts, whose minima bound what they share."""
+    out = [np.zeros(0, bool)]
+    for i in range(0, len(x), 1 << 14):
+        p, q = x[i : i + (1 << 14)], y[i : i + (1 << 14)]
+        both = np.minimum(np.minimum(counts[p], counts[q]).sum(axis=1, dtype=np.int64), np.minimum(size[p], size[q]))
+        out.append(5 * both >= FIFTHS * (size[p] + size[q] - both))
+    return np.concatenate(out)
+
+
+_SETS = "_row long, id long, node long, size long, f0 long, f1 long, held binary"
 
 
 def sets_of(rows: DataFrame) -> DataFrame:
@@ -229,21 +245,22 @@ def sets_of(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, size, f0, f1 = [], [], [], []
+            node, size, f0, f1, counts = [], [], [], [], []
             for t in b.column(2):
                 x = shingles(t.as_py())
                 node.append(xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63))
                 size.append(len(x))
                 f0.append(majority(x))
                 f1.append(majority(mixed(x, 0x632BE59BD9B4E019)))
+                counts.append(held(x))
             prints = (pa.array(np.array(f, np.uint64).view(np.int64)) for f in (f0, f1))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64()), *prints], [c.split()[0] for c in _SETS.split(", ")])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64()), *prints, pa.array(counts, pa.binary())], [c.split()[0] for c in _SETS.split(", ")])
 
     return rows.selectExpr("_row", "cast(doc_id as long) id", "text").mapInArrow(run, _SETS)
 
 
 def candidates(sets: DataFrame, turn: int, every: bool = False) -> DataFrame:
-    """Pairs (a, b) of nodes (node, size, f0, f1, component) of different components whose sizes and fingerprints allow for similarity.
+    """Pairs (a, b) of nodes (node, size, f0, f1, component, held) of different components whose sizes, fingerprints and bucket counts allow for similarity.
 
     Of each node's partners in a task one is passed on, that of least hash, which differs by the turn and among PARTS parts of the nodes;
     so a group's nodes meet few others. With ``every`` all pairs are passed on.
@@ -251,16 +268,18 @@ def candidates(sets: DataFrame, turn: int, every: bool = False) -> DataFrame:
     band = F.floor(F.log("size") / np.log(1.26)).cast("int")
     sets = sets.where("size > 0").withColumn("cell", band)
     visits = sets.withColumn("cell", F.explode(F.array("cell", F.col("cell") + 1)))
-    names = ["node", "size", "f0", "f1", "component"]
+    names = ["node", "size", "f0", "f1", "component", "held"]
 
     def search(t: pa.Table) -> pa.Table:
         native = t.column("native").to_numpy(zero_copy_only=False)
-        node, size, f0, f1, group = (t.column(c).to_numpy() for c in names)
+        node, size, f0, f1, group = (t.column(c).to_numpy() for c in names[:-1])
+        counts = np.frombuffer(b"".join(t.column("held").to_pylist()), "<u2").reshape(-1, BUCKETS)
         f0, f1 = f0.view(np.uint64), f1.view(np.uint64)
         by_size = np.argsort(size, kind="stable")
         a, b = by_size[native[by_size]], by_size[~native[by_size]]
         rank = [mixed(node[a].view(np.uint64), turn * PARTS + p + 1) for p in range(PARTS)]
         part = (mixed(node.view(np.uint64), 99) % np.uint64(PARTS)).astype(int)
+        mine, most, whom = mixed(node.view(np.uint64), turn), np.full(len(a), 0xFFFFFFFFFFFFFFFF, np.uint64), np.full(len(a), -1)
         out: list[tuple[np.ndarray, np.ndarray]] = [(node[:0], node[:0])]
         step = max(1, 400_000 // max(1, len(a)))
         for i in range(0, len(b), step):
@@ -272,16 +291,21 @@ def candidates(sets: DataFrame, turn: int, every: bool = False) -> DataFrame:
             p, q = np.nonzero(apart <= NEAR)
             keep = (group[y[p]] != group[x[q]]) & (5 * np.minimum(size[y[p]], size[x[q]]) >= FIFTHS * np.maximum(size[y[p]], size[x[q]]))
             p, q = y[p[keep]], q[keep] + low
+            keep = may_be_similar(counts, size, p, a[q])
+            p, q = p[keep], q[keep]
             if every or not len(p):
                 out.append((node[p], node[a[q]]))
                 continue
             here = np.stack(rank)[part[p], q]
             first = np.lexsort((here, p))
             first = first[np.concatenate([[True], p[first][1:] != p[first][:-1]])]  # of each visitor the partner of least hash
-            last = np.lexsort((mixed(node[p].view(np.uint64), turn), q))
-            last = last[np.concatenate([[True], q[last][1:] != q[last][:-1]])]  # and of each native
-            both = np.union1d(first, last)
-            out.append((node[p[both]], node[a[q[both]]]))
+            out.append((node[p[first]], node[a[q[first]]]))
+            last = np.lexsort((mine[p], q))
+            last = last[np.concatenate([[True], q[last][1:] != q[last][:-1]])]  # and of each native, over all visitors
+            last = last[mine[p[last]] < most[q[last]]]
+            most[q[last]], whom[q[last]] = mine[p[last]], p[last]
+        met = np.flatnonzero(whom >= 0)
+        out.append((node[whom[met]], node[a[met]]))
         x, y = (np.concatenate([o[k] for o in out]) for k in range(2))
         return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
@@ -307,7 +331,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def similar_sets(sets: DataFrame, texts: DataFrame, ws: Workspace) -> DataFrame:
-    """(node, component) of the nodes (node, size, f0, f1) that are linked: Jaccard of their shingles FIFTHS / 5 or more."""
+    """(node, component) of the nodes (node, size, f0, f1, held) that are linked: Jaccard of their shingles FIFTHS / 5 or more."""
     sets, edges = sets.withColumn("component", F.col("node")), None
     for turn in range(TURNS + 1):
         pairs = ws.save(candidates(sets, turn, every=turn == TURNS), f"pairs{turn}")
@@ -331,9 +355,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = ws.save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     own = ws.save(sets_of(rows), "sets")
     least = F.min(F.struct(F.col("id").isNull(), "id", "_row")).alias("least")
-    nodes = ws.save(own.groupBy("node", "size", "f0", "f1").agg(least).select("*", F.col("least._row").alias("_row")), "nodes")
+    nodes = ws.save(own.groupBy("node", "size", "f0", "f1").agg(least, F.first("held").alias("held")).select("*", F.col("least._row").alias("_row")), "nodes")
     texts = rows.select("_row", "text").join(nodes.select("_row", "node"), "_row").select("node", "text")
-    found = similar_sets(nodes.select("node", "size", "f0", "f1"), texts, ws)
+    found = similar_sets(nodes.select("node", "size", "f0", "f1", "held"), texts, ws)
     alone = nodes.join(found, "node", "left_anti").select("_row")
     first = found.join(nodes, "node").groupBy("component").agg(F.min("least").alias("least")).select("least._row")
     first = ws.save(alone.union(first), "first")

@@ -342,6 +342,24 @@ def test_fingerprint_by_brute_force():
         assert simhash.fingerprint(text) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def test_bucket_counts_rule_out_no_similar_sets():
+    rng = np.random.default_rng(14)
+    sets = []
+    for n in (1, 4, 5, 9, 60, 700, 3000):
+        x = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        for share in (1.0, 0.97, 0.9, 0.85, 0.8, 0.7, 0.5):
+            m = max(1, round(n * share))
+            sets.append(np.unique(np.concatenate([x[:m], rng.integers(0, 1 << 63, int(rng.integers(0, 2 + n - m)), dtype=np.uint64)])))
+    sets.append(np.arange(70_000, dtype=np.uint64) * np.uint64(simhash.BUCKETS))  # fills a bucket
+    sets.append(sets[-1][:60_000])
+    counts = np.stack([np.frombuffer(simhash.held(x), "<u2") for x in sets])
+    pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets)) if i != j]
+    near = np.array([len(set(sets[i].tolist()) & set(sets[j].tolist())) >= 0.8 * len(set(sets[i].tolist()) | set(sets[j].tolist())) for i, j in pairs])
+    assert near.tolist() == [simhash.similar(sets[i], sets[j]) for i, j in pairs]
+    may = simhash.may_be_similar(counts, np.array([len(x) for x in sets]), *np.array(pairs).T)
+    assert not (near & ~may).any() and may.sum() < 2 * near.sum()
+
+
 def test_near_pairs_with_pruning(monkeypatch):
     rng = np.random.default_rng(2)
     a = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
