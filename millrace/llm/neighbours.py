@@ -233,14 +233,19 @@ def audit(nodes: DataFrame, least: float, seed: int, sample: int) -> tuple[float
             if b.num_rows and len(q):
                 s = q @ _matrix(b.column("unit"), np.float64).T
                 x, y = np.nonzero(s >= least)
-                other, group = b.column("node").to_numpy()[y], b.column("component").to_numpy()[y]
-                keep = ids[x] != other
-                yield pa.RecordBatch.from_arrays([pa.array(ids[x][keep]), pa.array(other[keep]), pa.array((within[x] == group)[keep])], ["a", "b", "found"])
-
-    true = nodes.select("node", "component", "unit").mapInArrow(run, "a long, b long, found boolean")
-    each = true.groupBy("a").agg(F.count("*").alias("n"), F.count(F.when(F.col("found"), 1)).alias("hit"))
+                other, hit = b.column("node").to_numpy()[y], within[x] == b.column("component").to_numpy()[y]
+                away = ids[x] != other
+                n, hits = np.bincount(x[away], minlength=len(ids)), np.bincount(x[away & hit], minlength=len(ids))
+                some, miss = np.flatnonzero(n), np.flatnonzero(~hit)
+                nulls, zeros = pa.nulls(len(some), pa.int64()), pa.array(np.zeros(len(miss), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), nulls, pa.array(n[some]), pa.array(hits[some])], names)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[x[miss]]), pa.array(other[miss]), zeros, zeros], names)
+
+    names = ["a", "b", "n", "hit"]  # either a missed link, or a batch's numbers of links and of found ones
+    true = nodes.select("node", "component", "unit").mapInArrow(run, "a long, b long, n long, hit long")
+    each = true.groupBy("a").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit"))
     n, hit, mean = each.agg(F.sum("n"), F.sum("hit"), F.avg(F.col("hit") / F.col("n"))).first()
-    return (min(hit / n, mean) if n else 1.0), true.where("not found").select("a", "b")
+    return (min(hit / n, mean) if n else 1.0), true.where("b is not null").select("a", "b")
 
 
 def counted(members: DataFrame, least: float) -> DataFrame:
