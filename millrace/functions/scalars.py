@@ -57,6 +57,17 @@ def json_extract(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.get_json_object("props", "$.k").alias("k"), (p["k"] + 1).alias("k1"), F.get_json_object("props", "$.missing").alias("none"))
 
 
+@query("SELECT event_id, json_array_length('[1, 2, {\"a\": [3]}]') ::BIGINT AS n, json_extract_string('{\"a\": {\"b\": [7, 8]}}', '$.a.b[1]') AS nested, to_json({'e': event_type, 'u': user_id})::VARCHAR AS j FROM events")
+def json_more(t: Tables) -> DataFrame:
+    return t.events.select("event_id", F.json_array_length(F.lit('[1, 2, {"a": [3]}]')).cast("long").alias("n"), F.get_json_object(F.lit('{"a": {"b": [7, 8]}}'), "$.a.b[1]").alias("nested"), F.to_json(F.struct(C("event_type").alias("e"), C("user_id").alias("u"))).alias("j"))
+
+
+@query("SELECT s_suppkey, sha1(s_name) AS s1, decode(encode(s_name)) AS d, decode(from_base64(base64(encode(s_name)))) AS b, length(uuid()::VARCHAR)::INT AS u FROM supplier")
+def hash_more(t: Tables) -> DataFrame:
+    n = C("s_name")
+    return t.supplier.select("s_suppkey", F.sha1(n).alias("s1"), F.decode(F.encode(n, "UTF-8"), "UTF-8").alias("d"), F.unbase64(F.base64(n.cast("binary"))).cast("string").alias("b"), F.length(F.uuid()).alias("u"))
+
+
 @query("SELECT c_custkey, md5(c_name) AS m, sha256(c_name) AS s, lower(hex(encode(c_name))) AS h, base64(encode(c_name)) AS b FROM customer")
 def hash_fns(t: Tables) -> DataFrame:
     n = C("c_name")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +45,8 @@ def dot_product(a: Column, b: Column | list[float]) -> Column:
 
 
 def cosine_distance(a: Column, b: Column | list[float]) -> Column:
-    norms = F.sqrt(_over(a, b, lambda x, y: x * x)) * F.sqrt(_over(a, b, lambda x, y: y * y))
+    own = F.lit(math.sqrt(sum(float(y) * float(y) for y in b))) if isinstance(b, list) else F.sqrt(_sum(b, b, lambda x, y: x * y))
+    norms = F.sqrt(_sum(a, a, lambda x, y: x * y) if not isinstance(b, list) else _fixed(a, b, lambda x, y: x * x)) * own
     return 1 - dot_product(a, b) / F.greatest(norms, F.lit(EPSILON))
 
 
@@ -93,10 +99,57 @@ def cosine_topk(t: Tables) -> DataFrame:
     return search(t.embeddings, "embedding", _query(), 10, "cosine", "vec_id").select("vec_id", F.round("_distance", 3).alias("d"))
 
 
-@query("SELECT a AS query_id, b AS vec_id, rn FROM (SELECT q.vec_id AS a, e.vec_id AS b, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), e.vec_id) AS rn FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id AND q.label = e.label) WHERE rn <= 3")
+#: Query vectors of a block, which is sent to every scan task.
+QUERY_ROWS = 4096
+
+
+def nearest(df: DataFrame, key: str, column: str, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, key, rn): for each row of ``queries`` (query_id, q) the k nearest rows by L2 in double precision, itself excepted; ties by key.
+
+    Queries go in blocks of at most QUERY_ROWS, one scan each; a scan task passes on its k nearest of each query, so what is
+    ranked in the end is k rows a query and task. Vectors of other lengths and null ones are no neighbours.
+    """
+    rows = queries.where("query_id is not null and q is not null").select("query_id", F.size("q").alias("n"), C("q").cast("array<double>").alias("q"))
+    blocks = max(1, -(-rows.count() // QUERY_ROWS))
+    out = None
+    for b in range(blocks):
+        own = rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()  # about QUERY_ROWS rows
+        for n in sorted({r.n for r in own}):
+            found = _near_block(df, key, column, [r for r in own if r.n == n], n, k)
+            out = found if out is None else out.union(found)
+    if out is None:
+        return df.sparkSession.createDataFrame([], f"query_id long, {key} long, rn long")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "id")).cast("long")
+    return out.withColumn("rn", rank).where(C("rn") <= k).select("query_id", C("id").alias(key), "rn")
+
+
+def _near_block(df: DataFrame, key: str, column: str, own: list, n: int, k: int) -> DataFrame:
+    ids, q = np.array([r.query_id for r in own], np.int64), np.array([r.q for r in own], np.float64).reshape(len(own), n)
+    sent = df.sparkSession.sparkContext.broadcast((ids, q))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = sent.value
+        best_d, best_id = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+        for b in batches:
+            here = [(i, v) for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if i is not None and v is not None and None not in v]
+            if not here:
+                continue
+            other, x = np.array([i for i, _ in here], np.int64), np.array([v for _, v in here], np.float64)
+            for a in range(0, len(ids), 64):
+                d = np.sqrt(((q[a : a + 64, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+                d[ids[a : a + 64, None] == other[None, :]] = np.inf
+                d = np.concatenate([best_d[a : a + 64], d], axis=1)
+                i = np.concatenate([best_id[a : a + 64], np.broadcast_to(other, (len(d), len(other)))], axis=1)
+                order = np.lexsort((i, d), axis=1)[:, :k]
+                best_d[a : a + 64], best_id[a : a + 64] = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+        row, place = np.nonzero(np.isfinite(best_d))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(best_id[row, place]), pa.array(best_d[row, place])], ["query_id", "id", "d"])
+
+    rows = df.where(F.size(column) == n).select(C(key).cast("long").alias("id"), C(column).cast("array<double>").alias("v"))
+    return rows.mapInArrow(run, "query_id long, id long, d double")
+
+
+@query("SELECT a AS query_id, b AS vec_id, rn FROM (SELECT q.vec_id AS a, e.vec_id AS b, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), e.vec_id) AS rn FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id) WHERE rn <= 3")
 def knn_join(t: Tables) -> DataFrame:
-    """The three nearest vectors of the same label for each stated query vector, joined on the label."""
-    q = t.embeddings.where("vec_id % 100 = 0").select(C("vec_id").alias("query_id"), C("embedding").alias("q"), "label")
-    x = q.join(t.embeddings, "label").where("query_id <> vec_id").withColumn("_d", l2_distance(C("q"), C("embedding")))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("_d", "vec_id")).cast("long")
-    return x.select("query_id", "vec_id", rank.alias("rn")).where("rn <= 3")
+    """The three nearest of all other vectors for each stated query vector, those whose id is divisible by 100."""
+    return nearest(t.embeddings, "vec_id", "embedding", t.embeddings.where("vec_id % 100 = 0").select(C("vec_id").alias("query_id"), C("embedding").alias("q")), 3)

@@ -80,9 +80,9 @@ def theta_join(t: Tables) -> DataFrame:
     return a.join(b, (C("ra") == C("rb")) & (C("a") < C("b"))).select("a", "b")
 
 
-@query("SELECT o_orderkey, lo FROM orders JOIN (SELECT p_partkey * 4000.0::DOUBLE AS lo, p_partkey * 4000.0::DOUBLE + 2500 AS hi FROM part WHERE p_partkey <= 60) ON o_totalprice >= lo AND o_totalprice < hi")
+@query("SELECT o_orderkey, lo FROM orders JOIN (SELECT p_partkey * 4000.0::DOUBLE AS lo, p_partkey * 4000.0::DOUBLE + 2500 AS hi FROM part) ON o_totalprice >= lo AND o_totalprice < hi")
 def range_join_buckets(t: Tables) -> DataFrame:
-    ranges = t.part.where("p_partkey <= 60").selectExpr("p_partkey * 4000.0D lo", "p_partkey * 4000.0D + 2500 hi")
+    ranges = t.part.selectExpr("p_partkey * 4000.0D lo", "p_partkey * 4000.0D + 2500 hi")
     return range_join(t.orders.select("o_orderkey", "o_totalprice"), ranges, C("o_totalprice"), C("lo"), C("hi"), 2500).select("o_orderkey", "lo")
 
 
@@ -99,8 +99,9 @@ def using_join(t: Tables) -> DataFrame:
 
 @query("SELECT r_name, p_brand, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN part ON l_partkey = p_partkey WHERE p_size < 20 GROUP BY r_name, p_brand")
 def multiway_star(t: Tables) -> DataFrame:
-    x = t.lineitem.join(t.orders, C("l_orderkey") == C("o_orderkey")).join(t.customer, C("o_custkey") == C("c_custkey")).join(t.nation, C("c_nationkey") == C("n_nationkey")).join(t.region, C("n_regionkey") == C("r_regionkey"))
-    x = x.join(t.part.where("p_size < 20"), C("l_partkey") == C("p_partkey"))
+    places = t.nation.join(t.region, C("n_regionkey") == C("r_regionkey")).select("n_nationkey", "r_name")
+    x = t.lineitem.join(t.part.where("p_size < 20"), C("l_partkey") == C("p_partkey"))  # what filters comes first
+    x = x.join(t.orders, C("l_orderkey") == C("o_orderkey")).join(t.customer, C("o_custkey") == C("c_custkey")).join(places, C("c_nationkey") == C("n_nationkey"))
     return x.groupBy("r_name", "p_brand").agg(F.count("*").alias("n"), F.round(F.sum(F.expr("l_extendedprice * (1 - l_discount)")), 2).alias("revenue"))
 
 

@@ -31,9 +31,9 @@ def project_star(t: Tables) -> DataFrame:
     return t.nation
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 1000 AND 300000 > o_totalprice AND o_custkey < 200")
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 1000 AND 300000 > o_totalprice")
 def filter_lt_gt(t: Tables) -> DataFrame:
-    return t.orders.where((C("o_totalprice") > 1000) & (C("o_totalprice") < 300000) & (C("o_custkey") < 200)).select("o_orderkey", "o_totalprice")
+    return t.orders.where((C("o_totalprice") > 1000) & (C("o_totalprice") < 300000)).select("o_orderkey", "o_totalprice")
 
 
 @query("SELECT p_partkey, p_size FROM part WHERE p_size >= 10 AND p_size <= 12")
@@ -41,9 +41,9 @@ def filter_le_ge(t: Tables) -> DataFrame:
     return t.part.where((C("p_size") >= 10) & (C("p_size") <= 12)).select("p_partkey", "p_size")
 
 
-@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey < 500")
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F'")
 def filter_ne(t: Tables) -> DataFrame:
-    return t.orders.where((C("o_orderstatus") != "F") & (C("o_orderkey") < 500)).select("o_orderkey", "o_orderstatus")
+    return t.orders.where(C("o_orderstatus") != "F").select("o_orderkey", "o_orderstatus")
 
 
 @query("SELECT p_partkey FROM part WHERE NOT (p_size < 20 OR p_brand = 'Brand#1') AND (p_retailprice > 1000 OR p_size = 25)")
@@ -61,6 +61,13 @@ def filter_not_in(t: Tables) -> DataFrame:
     return t.nation.where(~C("n_nationkey").isin(1, 3, 5)).select("n_nationkey", "n_name")
 
 
+@query("SELECT c_custkey, c_mktsegment = 'BUILDING' AS b, ('z' < 'é')::BOOLEAN AS bytewise FROM customer WHERE (c_acctbal > 0) = true AND (c_mktsegment = 'BUILDING') = (c_nationkey > 10)")
+def boolean_equality(t: Tables) -> DataFrame:
+    """Booleans compared with each other, and text by its bytes."""
+    b = C("c_mktsegment") == "BUILDING"
+    return t.customer.where(((C("c_acctbal") > 0) == F.lit(True)) & (b == (C("c_nationkey") > 10))).select("c_custkey", b.alias("b"), (F.lit("z") < F.lit("é")).alias("bytewise"))
+
+
 @query("SELECT n_nationkey FROM nation WHERE n_name IN (SELECT n_name FROM nation WHERE n_nationkey < 0)")
 def filter_in_empty(t: Tables) -> DataFrame:
     return t.nation.join(t.nation.where("n_nationkey < 0").select("n_name"), "n_name", "left_semi").select("n_nationkey")

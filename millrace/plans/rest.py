@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.engine import TenantSession, _written
-from millrace.errors import InvalidLiteral, NotFound, Unsupported
+from millrace.errors import AlreadyExists, CommitConflict, EngineError, InvalidLiteral, IsolationViolation, NotFound, Unsupported
 from millrace.types import identifier
 
 DEFAULT_LIMIT, MOST = 100, 1000
@@ -112,6 +112,17 @@ def rest_delete(session: TenantSession, table: str, query: str) -> int:
     return session.execute(f"DELETE FROM {identifier(table)} WHERE {_where(query)}").rows
 
 
+#: HTTP status by error.
+STATUS = {NotFound: 404, AlreadyExists: 409, CommitConflict: 409, IsolationViolation: 403}
+
+
+def rest_error(e: Exception) -> tuple[int, dict[str, str]]:
+    """Status and body of an error; what the engine didn't foresee is told without its text."""
+    if not isinstance(e, EngineError):
+        return 500, {"code": EngineError.sqlstate, "message": "internal error"}
+    return STATUS.get(type(e), 400), {"code": e.sqlstate, "message": str(e)}
+
+
 def as_json(df: DataFrame) -> DataFrame:
     """Rows as JSON objects: bytes as \\x hex, non-finite numbers as text, nulls kept."""
     columns = []

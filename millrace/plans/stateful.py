@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 
 from millrace.engine import Engine, TenantSession
+from millrace.errors import AlreadyExists, CommitConflict, EngineError, InvalidLiteral, NotFound
 from millrace.functions.vectors import _query
 from millrace.plans.registry import Tables, query
-from millrace.plans.rest import rest_select
+from millrace.plans.rest import as_json, rest_delete, rest_error, rest_insert, rest_select, rest_update
 from millrace.sources.files import fresh_dir
 
 
+def _session(t: Tables) -> TenantSession:
+    return Engine(t.spark, fresh_dir(t.spark, "engine")).session("acme")
+
+
 def _customers(t: Tables, parts: int = 4) -> TenantSession:
     """A session with table c: id, name, seg (null for BUILDING), bal; in files of disjoint ids."""
     s = Engine(t.spark, fresh_dir(t.spark, "engine")).session("acme")
@@ -123,6 +130,163 @@ def show_tables(t: Tables) -> DataFrame:
     return s.execute("SHOW TABLES")
 
 
+@query(f"SELECT id, name, seg, bal FROM (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY bal DESC, id) AS rn FROM {_C}) WHERE rn <= 2")
+def qualify_sql(t: Tables) -> DataFrame:
+    return _customers(t).execute("SELECT id, name, seg, bal FROM c QUALIFY row_number() OVER (PARTITION BY seg ORDER BY bal DESC, id) <= 2 ORDER BY id")
+
+
+@query(f"SELECT DISTINCT ON (seg) seg, id, bal FROM {_C} ORDER BY seg, bal DESC, id")
+def distinct_on_sql(t: Tables) -> DataFrame:
+    return _customers(t).execute("SELECT DISTINCT ON (seg) seg, id, bal FROM c ORDER BY seg, bal DESC, id")
+
+
+@query(f"SELECT id FROM {_C} ORDER BY bal DESC, id LIMIT 7")
+def fetch_first_sql(t: Tables) -> DataFrame:
+    return _customers(t).execute("SELECT id FROM c ORDER BY bal DESC, id FETCH FIRST 7 ROWS ONLY")
+
+
+@query(f"SELECT id, name, true AS fewer_files FROM {_C} WHERE id BETWEEN 20 AND 24 OR id = 3")
+def pruned_select(t: Tables) -> DataFrame:
+    """Files that can't hold rows of the condition aren't read: fewer_files says so."""
+    s = _customers(t)
+    out = s.execute("SELECT id, name FROM c WHERE id BETWEEN 20 AND 24 OR id = 3")
+    read, all_ = s.files_read["c"]
+    return out.selectExpr("id", "name", f"{read} < {all_} fewer_files")
+
+
+@query("SELECT * FROM (VALUES ('a', 'bigint'), ('b', 'bigint'), ('c', 'double'), ('d', 'string'), ('e', 'boolean'), ('f', 'binary'), ('g', 'array<float>')) v(name, type)")
+def type_mapper(t: Tables) -> DataFrame:
+    s = _session(t)
+    s.execute("CREATE TABLE k (a BIGINT, b INT, c DOUBLE PRECISION, d VARCHAR, e BOOLEAN, f BYTEA, g vector(3))")
+    return t.spark.createDataFrame(s.execute("SELECT * FROM k").dtypes, "name string, type string")
+
+
+@query("SELECT * FROM (VALUES ('duplicate table', '42704'), ('no such table', '42704'), ('no such column', '42704'), ('null in NOT NULL', '42601'), ('text for a number', '42601'), ('two statements', '42601'), ('copy', '42601'), ('view', '42601'), ('alter', '42601'), ('returning', '42601'), ('read a file', '42704'), ('expression in SET', '42601'), ('old head', '40001')) v(what, code)")
+def errors_by_code(t: Tables) -> DataFrame:
+    """Each refused statement with the SQLSTATE of its error; the table stays as it was, else no row is given."""
+    s = _session(t)
+    s.execute("CREATE TABLE k (id BIGINT NOT NULL, x TEXT)")
+    s.execute("INSERT INTO k VALUES (1, 'p')")
+    tries = {
+        "duplicate table": "CREATE TABLE k (id BIGINT)", "no such table": "SELECT * FROM nowhere", "no such column": "UPDATE k SET y = 1", "null in NOT NULL": "INSERT INTO k VALUES (NULL, 'q')",
+        "text for a number": "INSERT INTO k VALUES ('1', 'q')", "two statements": "SELECT 1; SELECT 2", "copy": "COPY k FROM 'x.csv'", "view": "CREATE VIEW w AS SELECT 1", "alter": "ALTER TABLE k ADD COLUMN z INT",
+        "returning": "DELETE FROM k WHERE id = 1 RETURNING id", "read a file": f"SELECT * FROM parquet.`{t.sf_dir}/nation.parquet`", "expression in SET": "UPDATE k SET id = id + 1",
+    }
+    got = []
+    for what, sql in tries.items():
+        try:
+            s.execute(sql)
+        except EngineError as e:
+            got.append((what, e.sqlstate))
+    try:
+        s.catalog.append(s.tenant, "k", 0, [])
+    except EngineError as e:
+        got.append(("old head", e.sqlstate))
+    return t.spark.createDataFrame(got if s.execute("SELECT * FROM k").collect() == [(1, "p")] else [], "what string, code string")
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 2.0::DOUBLE, '00FF', true, 'a''b'), (2, 'NaN'::DOUBLE, NULL, false, ''), (3, 'Infinity'::DOUBLE, '', NULL, NULL)) v(id, x, b, ok, s)")
+def literal_coercion(t: Tables) -> DataFrame:
+    """Whole numbers as doubles, byte strings, and values that have no literal as bound parameters."""
+    s = _session(t)
+    s.execute("CREATE TABLE k (id BIGINT NOT NULL, x DOUBLE, b BYTEA, ok BOOLEAN, s TEXT)")
+    s.execute(r"INSERT INTO k VALUES (1, 2, '\x00ff', true, 'a''b')")
+    handle, _ = s.prepare("INSERT INTO k VALUES ($1, $2, $3, $4, $5)")
+    s.execute_bound(s.bind(handle, [2, float("nan"), None, False, ""]))
+    s.execute_bound(s.bind(handle, [3, float("inf"), b"", None, None]))
+    return s.execute("SELECT id, x, hex(b) AS b, ok, s FROM k")
+
+
+@query(f"SELECT id + 1000000 AS id, upper(name) AS name FROM {_C} WHERE bal > 5000")
+def insert_select_sql(t: Tables) -> DataFrame:
+    s = _customers(t)
+    s.execute("CREATE TABLE d (id BIGINT NOT NULL, name TEXT, more DOUBLE)")
+    s.execute("INSERT INTO d (id, name) SELECT id + 1000000, upper(name) FROM c WHERE bal > 5000")
+    return s.execute("SELECT id, name FROM d WHERE more IS NULL")
+
+
+@query(f"SELECT * FROM (VALUES (0::BIGINT, 'genesis', 0::BIGINT), (1, 'append', (SELECT count(*) FROM {_C})), (2, 'replace', (SELECT count(*) FROM {_C} WHERE id > 9))) v(id, operation, rows)")
+def snapshots_list(t: Tables) -> DataFrame:
+    s = _customers(t)
+    s.execute("DELETE FROM c WHERE id <= 9")
+    return s.snapshots("c").select("id", "operation", "rows")
+
+
+@query(f"SELECT 'left' AS what, count(*) AS n FROM {_C} WHERE id > 9 UNION ALL SELECT 'old snapshot', 0 UNION ALL SELECT 'dropped table', 0 UNION ALL SELECT 'tenants', 1")
+def vacuum_and_drop(t: Tables) -> DataFrame:
+    """After a vacuum the head is whole and older snapshots are gone; dropped tables and tenants are gone."""
+    s = _customers(t)
+    s.execute("DELETE FROM c WHERE id <= 9")
+    s.vacuum("c")
+    got = [("left", s.execute("SELECT * FROM c").count())]
+    s.execute("CREATE TABLE d (id BIGINT)")
+    s.drop_table("d")
+    for what, read in (("old snapshot", lambda: s.table("c", version=1)), ("dropped table", lambda: s.execute("SELECT * FROM d"))):
+        try:
+            read()
+            got.append((what, 1))
+        except NotFound:
+            got.append((what, 0))
+    s.engine.create_namespace("brief")
+    s.engine.drop_tenant("brief")
+    got.append(("tenants", len(s.catalog.tenants())))
+    return t.spark.createDataFrame(got, "what string, n long")
+
+
+@query("SELECT * FROM (VALUES ('parameter', 1, 'double'), ('parameter', 2, 'string'), ('parameter', 3, 'bigint'), ('id', 1, 'bigint'), ('name', 2, 'string')) v(what, place, type)")
+def prepared_describe(t: Tables) -> DataFrame:
+    s = _customers(t, 1)
+    _, d = s.prepare("SELECT id, name FROM c WHERE bal > $1 AND seg = $2 ORDER BY id LIMIT $3")
+    rows = [("parameter", i, k) for i, k in enumerate(d["param_types"], 1)] + [(c, i, k) for i, (c, k) in enumerate(d["columns"], 1)]
+    return t.spark.createDataFrame(rows, "what string, place int, type string")
+
+
+@query(f"SELECT id, name, seg FROM (SELECT id, name, CASE WHEN id < 30 THEN 'rest' ELSE seg END AS seg FROM {_C} WHERE id >= 5 UNION ALL SELECT 900001, 'new', NULL)")
+def rest_changes(t: Tables) -> DataFrame:
+    s = _customers(t)
+    rest_insert(s, "c", '{"id": 900001, "name": "new"}')
+    rest_update(s, "c", "id=lt.30", '{"seg": "rest"}')
+    rest_delete(s, "c", "id=lt.5")
+    return s.execute("SELECT id, name, seg FROM c")
+
+
+@query("SELECT * FROM (VALUES (404, '42704'), (409, '42704'), (400, '42601'), (409, '40001'), (500, 'XX000')) v(status, code)")
+def rest_errors(t: Tables) -> DataFrame:
+    errors = [NotFound("x"), AlreadyExists("x"), InvalidLiteral("x"), CommitConflict("x"), ValueError("secret")]
+    told = [rest_error(e) for e in errors]
+    return t.spark.createDataFrame([(status, body["code"]) for status, body in told if body["message"] != "secret"], "status int, code string")
+
+
+@query(f"SELECT '{{\"id\":' || id || ',\"seg\":' || coalesce('\"' || seg || '\"', 'null') || '}}' AS json FROM {_C} WHERE id <= 40")
+def json_rows(t: Tables) -> DataFrame:
+    return as_json(_customers(t, 1).execute("SELECT id, seg FROM c WHERE id <= 40"))
+
+
+@query(f"SELECT count(*) + 40 AS n, count(*) + 40 AS d FROM {_C}")
+def concurrent_appends(t: Tables) -> DataFrame:
+    """Four writers append to one head; those that lose the race commit onto the next one, and no row is lost."""
+    s = _customers(t, 1)
+
+    def work(k: int) -> None:
+        own = s.engine.session(s.tenant)
+        own.write("c", t.spark.range(10).selectExpr(f"id + {900000 + 10 * k} id", "'w' name"))
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(work, range(4)))
+    return s.execute("SELECT count(*) AS n, count(DISTINCT id) AS d FROM c")
+
+
+@query("SELECT * FROM (VALUES (2::BIGINT, 7::BIGINT, 'b'), (3, 8, 'c')) v(_lsn, id, name)")
+def log_since(t: Tables) -> DataFrame:
+    """Entries after a number, while the entries up to it were compacted and truncated; the high-water mark is the last number."""
+    s = _session(t)
+    s.execute("CREATE TABLE k (id BIGINT NOT NULL, name TEXT)")
+    for i, name in enumerate("abc"):
+        s.append_log("k", [{"id": 6 + i, "name": name}])
+    assert s._log("k").high_water() == 3
+    return s._log("k").read_from(1)
+
+
 _Q = _query()
 _QTEXT = "[" + ", ".join(map(repr, _Q)) + "]"
 _QSQL = "[" + ", ".join(f"{x!r}::DOUBLE" for x in _Q) + "]"

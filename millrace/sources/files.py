@@ -14,6 +14,8 @@ def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is configured."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that its machines share")
         found = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -43,7 +45,8 @@ class Files:
     def create(self, path: str, text: str) -> bool:
         """Creates a file with its whole content, or returns False if it is there already; it is never overwritten.
 
-        On a local disk a hard link makes that atomic; elsewhere the store's exclusive create does.
+        Readers never see a part of it: it is written beside its place and gets its name when whole, by a hard link on a local
+        disk and elsewhere by a rename, which Hadoop's file system refuses where the name is taken.
         """
         fs, p = self._at(path)
         if fs.getScheme() == "file":
@@ -59,17 +62,20 @@ class Files:
                 return False
             finally:
                 os.unlink(own)
-        try:
-            out = fs.create(p, False)
-        except Py4JJavaError as e:
-            if "AlreadyExists" in e.java_exception.getClass().getName():
-                return False
-            raise
+        own = self.jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+        out = fs.create(own, False)
         try:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
-        return True
+        try:
+            if not fs.exists(p) and fs.rename(own, p):
+                return True
+        except Py4JJavaError as e:
+            if "AlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+        fs.delete(own, False)
+        return False
 
     def list(self, path: str) -> list[tuple[str, int, bool]]:
         """(path, bytes, is a folder) of what is directly inside; nothing if there is no such folder."""
@@ -78,6 +84,10 @@ class Files:
             return []
         return [(s.getPath().toString(), s.getLen(), s.isDirectory()) for s in fs.listStatus(p)]
 
+    def make_folder(self, path: str) -> None:
+        fs, p = self._at(path)
+        fs.mkdirs(p)
+
     def exists(self, path: str) -> bool:
         fs, p = self._at(path)
         return fs.exists(p)

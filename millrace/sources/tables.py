@@ -53,10 +53,10 @@ def statistics(spark: SparkSession, sizes: dict[str, int], schema: T.StructType)
     return out
 
 
-def read(spark: SparkSession, snapshot: Snapshot) -> DataFrame:
-    """The rows of a snapshot, by its manifest."""
+def read(spark: SparkSession, snapshot: Snapshot, files: list[DataFile] | None = None) -> DataFrame:
+    """The rows of a snapshot, by its manifest, or those of some of its files."""
     schema = snapshot.struct()
-    paths = [f.path for f in snapshot.files]
+    paths = [f.path for f in (snapshot.files if files is None else files)]
     if not paths:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(*paths)

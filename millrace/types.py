@@ -77,6 +77,8 @@ def coerce(value, field: T.StructField):
             raise bad
         return value
     if isinstance(kind, T.DoubleType):
+        if isinstance(value, str) and value.strip().lower() in ("nan", "infinity", "-infinity"):
+            return float(value)
         if not isinstance(value, (int, float)):
             raise bad
         return float(value)

@@ -4,7 +4,7 @@ import pytest
 
 from millrace.catalog import DataFile
 from millrace.engine import Engine, Rate
-from millrace.errors import AlreadyExists, CommitConflict, InvalidIdent, InvalidLiteral, InvalidSchema, NotFound, Unsupported
+from millrace.errors import AlreadyExists, CommitConflict, InvalidIdent, InvalidLiteral, InvalidSchema, IsolationViolation, NotFound, Unsupported
 from millrace.plans import predicates, sqltext
 from millrace.plans.rest import as_json, rest_delete, rest_insert, rest_select, rest_update
 from millrace.sources.files import fresh_dir
@@ -16,10 +16,11 @@ def engine(spark):
 
 
 @pytest.fixture
-def five(engine):
+def stock(engine):
+    """Seven articles, two without a colour."""
     s = engine.session("t1")
-    s.execute("CREATE TABLE t (id BIGINT NOT NULL, name TEXT)")
-    s.execute("INSERT INTO t VALUES (1,'a'),(2,NULL),(3,'c'),(4,NULL),(5,'e')")
+    s.execute("CREATE TABLE t (sku BIGINT NOT NULL, colour TEXT)")
+    s.execute("INSERT INTO t VALUES (11, 'red'), (12, 'blue'), (13, NULL), (14, 'red'), (15, 'green'), (16, NULL), (17, 'blue')")
     return s
 
 
@@ -59,105 +60,158 @@ def test_insert_coercion(engine):
     assert s.execute("INSERT INTO t (id, x) SELECT id + 10, x FROM t").rows == 2
 
 
-def test_delete_and_update(five):
-    assert five.execute("DELETE FROM t WHERE name IS NULL").text == "DELETE 2"
-    assert five.execute("UPDATE t SET name = 'z' WHERE id = 3 OR id > 100").text == "UPDATE 1"
-    assert five.execute("UPDATE t SET name = NULL WHERE id = 5").text == "UPDATE 1"
-    assert rows(five.execute("SELECT * FROM t").fillna("null")) == [(1, "a"), (3, "z"), (5, "null")]
-    assert five.execute("DELETE FROM t WHERE upper(name) = 'A'").text == "DELETE 1"
-    for bad in ("DELETE FROM t WHERE nope = 1", "UPDATE t SET id = id + 1", "DELETE FROM t WHERE id = 1 RETURNING id"):
+def test_delete_and_update(stock):
+    assert stock.execute("UPDATE t SET colour = 'grey' WHERE colour IS NULL OR sku > 16").text == "UPDATE 3"
+    assert stock.execute("UPDATE t SET colour = NULL WHERE sku BETWEEN 14 AND 15").text == "UPDATE 2"
+    assert stock.execute("DELETE FROM t WHERE colour <> 'grey'").text == "DELETE 2"
+    assert rows(stock.execute("SELECT * FROM t").fillna("-")) == [(13, "grey"), (14, "-"), (15, "-"), (16, "grey"), (17, "grey")]
+    assert stock.execute("DELETE FROM t WHERE sku % 2 = 1 AND length(coalesce(colour, '')) = 4").text == "DELETE 2"
+    for bad in ("DELETE FROM t WHERE size > 3", "UPDATE t SET sku = sku * 2", "UPDATE t SET colour = 'x' WHERE sku = 16 RETURNING sku"):
         with pytest.raises((Unsupported, InvalidLiteral, NotFound)):
-            five.execute(bad)
-    assert five.execute("DELETE FROM t").text == "DELETE 2"
-    assert five.execute("SELECT * FROM t").count() == 0
+            stock.execute(bad)
+    assert stock.execute("DELETE FROM t").text == "DELETE 3"
+    assert stock.execute("SELECT * FROM t").count() == 0
 
 
-def test_pruned_files_stay(engine):
+@pytest.fixture
+def readings(engine):
+    """Three files of readings by day, whose days don't overlap; the middle one alone holds alarms, and the last one a day of its own."""
     s = engine.session("t1")
-    s.execute("CREATE TABLE t (id BIGINT NOT NULL, name TEXT NOT NULL)")
-    spark = engine.spark
-    s.write("t", spark.range(1000).selectExpr("id", "concat('n', id) name").coalesce(1))
-    s.write("t", spark.range(999000, 999500).selectExpr("id", "if(id = 999100, 'foo', 'bar') name").coalesce(1))
-    first = s.catalog.load("t1", "t").files[0].path
-    assert s.execute("UPDATE t SET name = 'x' WHERE id > 999000 AND name = 'foo'").text == "UPDATE 1"
-    files = s.catalog.load("t1", "t").files
-    assert first in [f.path for f in files] and len(files) == 2
-    assert s.execute("DELETE FROM t WHERE id < 5000").text == "DELETE 1000"
-    assert [f.rows for f in s.catalog.load("t1", "t").files] == [500]
-
-
-def test_snapshots_conflicts_and_vacuum(five):
-    before = five.table("t", version=1)
-    five.execute("DELETE FROM t WHERE id = 1")
-    assert before.count() == 5 and five.table("t").count() == 4
-    assert [r.operation for r in five.snapshots("t").orderBy("id").collect()] == ["genesis", "append", "replace"]
-    head = five.catalog.load("t1", "t")
-    five.catalog.append("t1", "t", head.id, [])
+    s.execute("CREATE TABLE r (day BIGINT NOT NULL, level DOUBLE, state TEXT)")
+    for first, alarms in ((0, 0), (40, 7), (80, 0)):
+        s.write("r", engine.spark.range(first, first + 30).selectExpr("id day", "id / 4 level", f"if(id < {first + alarms}, 'alarm', 'calm') state").coalesce(1))
+    return s
+
+
+def test_changes_leave_files_alone_that_hold_no_row(readings):
+    paths = [f.path for f in readings.catalog.load("t1", "r").files]
+    assert readings.execute("UPDATE r SET state = 'seen' WHERE state = 'alarm' AND level >= 11").text == "UPDATE 3"
+    after = [f.path for f in readings.catalog.load("t1", "r").files]
+    assert len(after) == 3 and set(paths) & set(after) == {paths[0], paths[2]}
+    assert readings.execute("DELETE FROM r WHERE day >= 80").text == "DELETE 30"  # a whole file, unread
+    assert paths[0] in [f.path for f in readings.catalog.load("t1", "r").files] and readings.execute("SELECT * FROM r").count() == 60
+
+
+def test_queries_read_only_files_that_may_hold_rows(readings):
+    for where, files in (("day = 95", 1), ("day < 35", 1), ("level > 9.9 AND state = 'alarm'", 1), ("NOT (day < 75)", 1), ("day IN (3, 44)", 2), ("day = 200", 0), ("length(state) = 5", 3)):
+        out = readings.execute(f"SELECT day, state FROM r WHERE {where} ORDER BY day LIMIT 100")
+        want = sorted(map(tuple, readings.table("r").where(where).select("day", "state").collect()))
+        assert rows(out) == want and readings.files_read["r"] == (files, 3) and len(out.inputFiles()) == files
+    assert readings.execute("SELECT count(*) n FROM r").first().n == 90  # and the next query has all of them
+    assert readings.execute("SELECT count(*) n FROM r a JOIN r b USING (day) WHERE a.day = 95").first().n == 1
+    readings.append_log("r", [{"day": 95, "state": "late"}])
+    assert readings.execute("SELECT count(*) n FROM r WHERE day = 95").first().n == 2
+
+
+def test_snapshots_conflicts_and_vacuum(stock):
+    before = stock.table("t", version=1)
+    stock.execute("DELETE FROM t WHERE colour = 'red'")
+    assert before.count() == 7 and stock.table("t").count() == 5
+    assert [r.operation for r in stock.snapshots("t").orderBy("id").collect()] == ["genesis", "append", "replace"]
+    head = stock.catalog.load("t1", "t")
+    stock.catalog.append("t1", "t", head.id, [])
     with pytest.raises(CommitConflict):
-        five.catalog.append("t1", "t", head.id, [])
+        stock.catalog.append("t1", "t", head.id, [])
     with pytest.raises(CommitConflict):
-        five.catalog.replace("t1", "t", head.id + 1, {"gone.parquet"}, [])
-    assert five.vacuum("t") == 1 and five.table("t").count() == 4
+        stock.catalog.replace("t1", "t", head.id + 1, {"gone.parquet"}, [])
+    assert stock.vacuum("t") == 1 and stock.table("t").count() == 5
     with pytest.raises(NotFound):
-        five.table("t", version=1)
+        stock.table("t", version=1)
+
+
+def test_manifests_are_created_once_and_whole(engine):
+    path = f"{engine.root}/once/v1.json"
+    assert engine.catalog.files.create(path, "first" * 1000) and not engine.catalog.files.create(path, "second")
+    assert engine.catalog.files.read(path) == "first" * 1000 and [p for p, _, _ in engine.catalog.files.list(f"{engine.root}/once") if p.endswith(".tmp")] == []
+
+
+def test_files_outside_of_the_tenant_are_refused(engine, stock):
+    for k, path in enumerate((f"{engine.root}/tenants/t2/tables/t/data/x.parquet", f"{engine.root}/tenants/t1/tables/t/data/../../../../t2/x.parquet", f"/else{engine.catalog.table_dir('t1', 't')}/data/x.parquet")):
+        name = f"bad{k}"
+        stock.execute(f"CREATE TABLE {name} (a BIGINT)")
+        stock.catalog.append("t1", name, 0, [DataFile(path.replace("/tables/t/", f"/tables/{name}/") if "t1/" in path and ".." not in path else path, 1, 1, {})])
+        with pytest.raises(IsolationViolation):
+            stock.catalog.load("t1", name)
+
+
+def test_cached_manifests_are_bounded(engine, stock):
+    engine.catalog.most_cached = 2
+    for k in range(5):
+        stock.append_log("t", [{"sku": 100 + k}])
+        stock.compact("t")
+    assert len(engine.catalog.cache) <= 2 and stock.execute("SELECT count(*) n FROM t").first().n == 12
+
+
+def test_dialect_inside_of_queries(stock):
+    q = "SELECT n FROM (SELECT colour, count(*) AS n FROM t GROUP BY colour QUALIFY rank() OVER (ORDER BY count(*) DESC, colour) <= 2) x"
+    assert rows(stock.execute(q)) == [(2,), (2,)]
+    assert rows(stock.execute("WITH w AS (SELECT DISTINCT ON (colour) colour, sku FROM t ORDER BY colour, sku DESC) SELECT sku FROM w WHERE colour IS NOT NULL")) == [(14,), (15,), (17,)]
+    assert [r.sku for r in stock.execute("SELECT DISTINCT ON (coalesce(colour, '-')) sku FROM t ORDER BY coalesce(colour, '-') DESC, sku LIMIT 3").collect()] == [11, 15, 12]
+    assert [r.sku for r in stock.execute("SELECT sku FROM t ORDER BY sku DESC FETCH FIRST ROW ONLY").collect()] == [17]
+    assert [r.sku for r in stock.execute("SELECT sku, 'QUALIFY' AS w FROM t ORDER BY sku FETCH NEXT 2 ROWS ONLY").collect()] == [11, 12]
+    with pytest.raises(Unsupported):
+        stock.execute("SELECT sku FROM t UNION SELECT sku FROM t QUALIFY row_number() OVER (ORDER BY sku) = 1")
 
 
-def test_isolation_and_drop(engine, five):
+def test_isolation_and_drop(engine, stock):
     other = engine.session("t2")
     with pytest.raises(NotFound):
         other.execute("SELECT * FROM t")
     with pytest.raises((NotFound, Unsupported)):
         other.execute(f"SELECT * FROM parquet.`{engine.root}/tenants/t1/tables/t/data`")
-    five.drop_table("t")
+    stock.drop_table("t")
     with pytest.raises(NotFound):
-        five.execute("SELECT * FROM t")
+        stock.execute("SELECT * FROM t")
+    engine.create_namespace("empty")
+    assert engine.catalog.tenants() == ["empty", "t1"] and engine.session("empty").execute("SHOW TABLES").count() == 0
     engine.drop_tenant("t1")
+    engine.drop_tenant("empty")
     assert engine.catalog.tenants() == []
 
 
-def test_log(five):
-    assert five.append_log("t", [{"id": 6, "name": "f"}, {"id": 7}]) == 1
-    assert five.execute("SELECT count(*) n FROM t").first().n == 7
-    assert five.compact("t") == 1 and five.compact("t") == 1
-    assert five.execute("SELECT count(*) n FROM t").first().n == 7
-    log = five._log("t")
+def test_log(stock):
+    assert stock.append_log("t", [{"sku": 18, "colour": "black"}, {"sku": 19}]) == 1
+    assert stock.execute("SELECT count(*) n FROM t").first().n == 9
+    assert stock.compact("t") == 1 and stock.compact("t") == 1
+    assert stock.execute("SELECT count(*) n FROM t").first().n == 9
+    log = stock._log("t")
     assert log.truncate() == 1 and log.high_water() == 1
-    assert five.append_log("t", [{"id": 8, "name": "h"}]) == 2
-    assert rows(log.read_from(1)) == [(2, 8, "h")]
-    assert five.execute("DELETE FROM t WHERE id > 5").text == "DELETE 3"
-    assert five.execute("SELECT count(*) n FROM t").first().n == 5
+    assert stock.append_log("t", [{"sku": 20, "colour": "white"}]) == 2
+    assert rows(log.read_from(1)) == [(2, 20, "white")]
+    assert stock.execute("DELETE FROM t WHERE sku > 17").text == "DELETE 3"
+    assert stock.execute("SELECT count(*) n FROM t").first().n == 7
     with pytest.raises(InvalidLiteral):
-        five.append_log("t", [{"name": "no id"}])
+        stock.append_log("t", [{"colour": "none"}])
 
 
-def test_prepared(five):
-    h, info = five.prepare("SELECT id, name FROM t WHERE id >= $1 AND name <> $2 LIMIT $3")
-    assert info["param_types"] == ["bigint", "string", "bigint"] and info["columns"] == [("id", "bigint"), ("name", "string")]
-    assert rows(five.execute_bound(five.bind(h, [1, "'; DROP", 10]))) == [(1, "a"), (3, "c"), (5, "e")]
-    assert five.execute_bound(five.bind(h, [1, "", 10]), max_rows=2).count() == 2
-    i, info = five.prepare("INSERT INTO t VALUES ($1, $2)")
+def test_prepared(stock):
+    h, info = stock.prepare("SELECT sku, colour FROM t WHERE sku >= $1 AND colour <> $2 LIMIT $3 -- $9 isn't one")
+    assert info["param_types"] == ["bigint", "string", "bigint"] and info["columns"] == [("sku", "bigint"), ("colour", "string")]
+    assert rows(stock.execute_bound(stock.bind(h, [14, "'; DROP", 10]))) == [(14, "red"), (15, "green"), (17, "blue")]
+    assert stock.execute_bound(stock.bind(h, [11, "", 10]), max_rows=2).count() == 2
+    i, info = stock.prepare("INSERT INTO t VALUES ($1, $2)")
     assert info["param_types"] == ["bigint", "string"]
-    assert five.execute_bound(five.bind(i, [9, "é'$1"])).text == "INSERT 0 1"
-    assert five.execute("SELECT name FROM t WHERE id = 9").first().name == "é'$1"
+    assert stock.execute_bound(stock.bind(i, [9, "é'$1"])).text == "INSERT 0 1"
+    assert stock.execute("SELECT colour FROM t WHERE sku = 9").first().colour == "é'$1"
     with pytest.raises(InvalidLiteral):
-        five.bind(h, [1])
-    five.close_statement(h)
+        stock.bind(h, [1])
+    stock.close_statement(h)
     with pytest.raises(NotFound):
-        five.bind(h, [1, "", 1])
+        stock.bind(h, [1, "", 1])
 
 
-def test_rest(five):
-    assert rest_insert(five, "t", '[{"id": 6, "name": "f"}, {"id": 7}]') == 2
-    t = five.table("t")
-    assert [r.id for r in rest_select(t, "id=gt.2&name=is.null&order=id.desc&select=id").collect()] == [7, 4]
-    assert [r.id for r in rest_select(t, "id=in.(1,3,9)&order=id&limit=1&offset=1").collect()] == [3]
-    assert rest_update(five, "t", "id=eq.7", '{"name": "g"}') == 1
-    assert rest_delete(five, "t", "id=gte.6") == 2
+def test_rest(stock):
+    assert rest_insert(stock, "t", '[{"sku": 18, "colour": "black"}, {"sku": 19}]') == 2
+    t = stock.table("t")
+    assert [r.sku for r in rest_select(t, "sku=gt.13&colour=is.null&order=sku.desc&select=sku").collect()] == [19, 16]
+    assert [r.sku for r in rest_select(t, "sku=in.(11,13,99)&order=sku&limit=1&offset=1").collect()] == [13]
+    assert rest_update(stock, "t", "sku=eq.19", '{"colour": "white"}') == 1
+    assert rest_delete(stock, "t", "sku=gte.18") == 2
     with pytest.raises(Unsupported):
-        rest_delete(five, "t", "")
+        rest_delete(stock, "t", "")
     with pytest.raises(InvalidLiteral):
-        rest_insert(five, "t", '{"id": {"a": 1}}')
-    assert as_json(five.table("t").where("id = 2")).first().json == '{"id":2,"name":null}'
+        rest_insert(stock, "t", '{"sku": {"a": 1}}')
+    assert as_json(stock.table("t").where("sku = 13")).first().json == '{"sku":13,"colour":null}'
 
 
 def test_vectors(engine):
