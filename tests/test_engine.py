@@ -229,6 +229,37 @@ def test_vectors(engine):
         s.execute("SELECT e <-> '[1,2,3]' FROM v").collect()
 
 
+def test_vector_index(engine):
+    s = engine.session("t1")
+    s.execute("CREATE TABLE v (id BIGINT NOT NULL, e vector(3))")
+    grid = engine.spark.range(600).selectExpr("id", "array(float(id % 10), float(int(id / 10) % 10), float(int(id / 100))) e")
+    s.write("v", grid.where("id < 400").repartition(2))
+    assert s.create_index("v", "e") == 2 and s.create_index("v", "e") == 0
+    s.write("v", grid.where("id >= 400").coalesce(1))  # indexed as it comes
+    s.execute("INSERT INTO v VALUES (1000, NULL)")
+    ask = "SELECT id, e FROM v ORDER BY e <-> '[3, 4, 5]' LIMIT 1"
+    assert [r.id for r in s.execute(ask).collect()] == [543] and s.routed == 1
+    assert [(r.id, r._distance) for r in s.vector_search("v", "e", [3.0, 4.0, 5.0], 1).collect()] == [(543, 0.0)]
+    s.execute("DELETE FROM v WHERE id = 543")  # its file is another one now
+    assert s.execute(ask).first().id in (443, 533, 542, 544, 553)
+    s.append_log("v", [{"id": 2000, "e": [3.0, 4.0, 5.1]}])
+    assert s.execute(ask).first().id == 2000 and s.routed == 3
+    assert s.execute("SELECT count(*) n FROM v").first().n == 601
+    for other in ("SELECT id FROM v WHERE id < 50 ORDER BY e <-> '[3, 4, 5]' LIMIT 1", "SELECT id FROM v ORDER BY e <=> '[3, 4, 5]' LIMIT 1", "SELECT id FROM v ORDER BY e <-> '[3, 4, 5]' DESC LIMIT 1"):
+        s.execute(other).collect()
+        assert s.routed == 3
+    folder = s.catalog.table_dir("t1", "v")
+    every = {r.id for r in s._candidates("v", "e", [0.0, 0.0, 0.0], 50, "l2", probes=1.0).collect()} - {2000}
+    want = sorted(range(600), key=lambda i: ((i % 10) ** 2 + (i // 10 % 10) ** 2 + (i // 100) ** 2))
+    far = lambda i: (i % 10) ** 2 + (i // 10 % 10) ** 2 + (i // 100) ** 2
+    assert len(every) == 50 and max(map(far, every)) == far(want[49])  # all lists read: exact
+    with pytest.raises(InvalidSchema):
+        s.create_index("v", "id")
+    engine.catalog.files.create(f"{folder}/index/later.json", '{"magic": "millrace-lists", "version": 99, "column": "e"}')
+    with pytest.raises(InvalidSchema):
+        s.execute(ask)
+
+
 def test_rewriting_skips_strings_and_comments():
     sql = "SELECT '<->', \"a<->b\" /* <-> */ FROM t -- <=>"
     assert sqltext.rewrite_vectors(sql) == sql
