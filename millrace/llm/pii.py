@@ -105,8 +105,8 @@ def revealing_terms(docs: DataFrame, based: DataFrame, ws: Workspace) -> DataFra
     near = entities.join(often, "entity").select("doc", "entity", "n_entity").distinct()
     voice = lambda k: F.array_min(F.transform("w", lambda w, i: F.xxhash64(w, F.get("w", i + 1), F.get("w", i + 2), F.lit(k))))
     texts = ws.save(texts.join(near.select("doc").distinct(), "doc", "left_semi").withColumn("w", words).drop("text"), "words")  # so that words are split once, not for each neighbour
-    texts = texts.select("doc", "copies", *(voice(k).alias(f"voice{k}") for k in range(VOICES)), F.explode(F.array_distinct("w")).alias("term"))
-    near = near.join(texts, "doc").where(F.length("term") >= LEAST_LETTERS)
+    texts = ws.save(texts.select("doc", "copies", *(voice(k).alias(f"voice{k}") for k in range(VOICES)), F.array_distinct("w").alias("w")), "voices")  # and hashed once, not for each term
+    near = near.join(texts.withColumn("term", F.explode("w")).drop("w"), "doc").where(F.length("term") >= LEAST_LETTERS)
     near = ws.save(near, "near")
     pair = ["entity", "n_entity", "term"]
     support = near.groupBy(*pair).agg(F.count("*").alias("support"), F.sum("copies").alias("both")).where(F.col("support") >= LEAST_SUPPORT)
