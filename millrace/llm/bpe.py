@@ -19,6 +19,7 @@ import heapq
 import json
 import os
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from millrace.llm._shared import Workspace, batch_rows, put_bytes, shared_dir
 
 #: Share of all words from which a word goes into the lexicon.
-MIN_SHARE = 1e-5
+MIN_SHARE = 3e-6
 #: Entries of a worker's cache of words outside the lexicon, and of its counts before they are passed on.
 CACHE = 400_000
 #: Bytes of a word from which merges wait in a heap.
@@ -171,8 +172,8 @@ class Words:
         return [raw[a:b] for a, b in zip(self.start[which].tolist(), self.end[which].tolist(), strict=True)]
 
 
-def minimal_transducer(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Minimal acyclic automaton of sorted distinct words: byte classes, next states, outputs, final states.
+def minimal_transducer(words: list[bytes]) -> tuple[np.ndarray, list[tuple[list[int], list[int], list[int]]], np.ndarray]:
+    """Minimal acyclic automaton of sorted distinct words: byte classes, of each state its transitions (classes, next states, outputs), final states.
 
     State 0 is dead, 1 the start. The outputs along a word add up to its rank among the words. Built
     from sorted words with a register of states by their outgoing transitions, so that states with the
@@ -209,15 +210,56 @@ def minimal_transducer(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.n
     used = sorted({b for _, moves in states for b, _ in moves})
     klass = np.full(256, len(used), np.int64)
     klass[used] = np.arange(len(used))
-    nxt, out, final = np.zeros((n + 1, len(used) + 1), np.int32), np.zeros((n + 1, len(used) + 1), np.int32), np.zeros(n + 1, np.int32)
-    below = [0] * n
+    final, below = np.zeros(n + 1, np.int32), [0] * n
+    moves_of: list[tuple[list[int], list[int], list[int]]] = [([], [], []) for _ in range(n + 1)]
     for s, (ends, moves) in enumerate(states):  # children come before their parents
-        total = int(ends)
+        total, (bytes_, to, out) = int(ends), moves_of[number[s]]
         for b, child in moves:
-            nxt[number[s], klass[b]], out[number[s], klass[b]] = number[child], total
+            bytes_.append(int(klass[b])), to.append(int(number[child])), out.append(total)
             total += below[child]
         below[s], final[number[s]] = total, ends
-    return klass, nxt, out, final
+    return klass, moves_of, final
+
+
+def packed(moves_of: list[tuple[list[int], list[int], list[int]]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The transitions in one row of cells: a state's base, and of each cell its owner, next state and output.
+
+    The transition of a class is in the cell at base + class, if the state owns it. States with several transitions take the first base
+    where all their cells are free; those with one, which are most, fill the gaps. So there is about a cell a transition.
+    """
+    several = sorted((s for s, m in enumerate(moves_of) if len(m[0]) > 1), key=lambda s: -len(moves_of[s][0]))
+    size = sum(len(m[0]) for m in moves_of) + 2 * width
+    taken, base, low = np.zeros(2 * size + 8192, bool), np.zeros(len(moves_of), np.int64), 0
+    for s in several:
+        at = np.array(moves_of[s][0])
+        start = low
+        while True:
+            if start + 4096 + width > len(taken):
+                taken = np.concatenate([taken, np.zeros(len(taken), bool)])
+            bad = taken[start + at[0] : start + at[0] + 4096].copy()
+            for k in at[1:]:
+                bad |= taken[start + k : start + k + 4096]
+            if not bad.all():
+                break
+            start += 4096
+        base[s] = start + int(np.argmin(bad))
+        taken[base[s] + at] = True
+        while taken[low : low + 4096].sum() > 3900:  # nearly full
+            low += 4096
+    one = [s for s, m in enumerate(moves_of) if len(m[0]) == 1]
+    if one:
+        first = np.array([moves_of[s][0][0] for s in one])
+        taken = np.concatenate([taken, np.zeros(len(one), bool)])
+        free = np.flatnonzero(~taken[width:])[: len(one)] + width
+        base[one] = free - first
+        taken[free] = True
+    cells = int(np.flatnonzero(taken)[-1]) + 1 + width if taken.any() else width
+    owner, to, out = np.full(cells, -1, np.int32), np.zeros(cells, np.int32), np.zeros(cells, np.int32)
+    for s, (at, nxt, add) in enumerate(moves_of):
+        if at:
+            i = base[s] + np.array(at)
+            owner[i], to[i], out[i] = s, nxt, add
+    return base.astype(np.int32), owner, to, out
 
 
 class Lexicon:
@@ -225,38 +267,40 @@ class Lexicon:
 
     def __init__(self, path: str):
         flat = np.memmap(path, np.int32, "r")
-        states, width, words, ids = flat[:4].tolist()
-        parts = np.cumsum([4, 256, states * width, states * width, states, words + 1, ids])
-        klass, nxt, out, final, offset, ids_ = (flat[a:b] for a, b in zip(parts[:-1], parts[1:], strict=True))
-        self.klass, self.nxt, self.out, self.final, self.offset, self.ids, self.width = klass, nxt, out, final, offset, ids_, width
+        states, cells, words, ids = flat[:4].tolist()
+        parts = np.cumsum([4, 256, states, states, cells, cells, cells, words + 1, ids])
+        self.klass, self.base, self.final, self.owner, self.next, self.out, self.offset, self.ids = (flat[a:b] for a, b in zip(parts[:-1], parts[1:], strict=True))
 
     @staticmethod
     def compile(words: list[bytes], vocab: Vocabulary) -> bytes:
         words = sorted(set(words))
-        klass, nxt, out, final = minimal_transducer(words)
+        klass, moves_of, final = minimal_transducer(words)
+        base, owner, to, out = packed(moves_of, int(klass.max()) + 1)
         each = [vocab.merge(w) for w in words]
         offset = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int32)
         ids = np.array([i for x in each for i in x], np.int32)
-        head = np.array([nxt.shape[0], nxt.shape[1], len(words), len(ids)], np.int32)
-        return b"".join(np.ascontiguousarray(part, np.int32).tobytes() for part in (head, klass, nxt, out, final, offset, ids))
+        head = np.array([len(base), len(owner), len(words), len(ids)], np.int32)
+        return b"".join(np.ascontiguousarray(part, np.int32).tobytes() for part in (head, klass, base, final, owner, to, out, offset, ids))
 
     def ranks(self, words: Words) -> np.ndarray:
         """Rank of each word, -1 for words that aren't in the lexicon; all words walk the automaton at once."""
         n = len(words.start)
         result = np.full(n, -1, np.int64)
-        live, at, end = np.arange(n), words.start.copy(), words.end
-        state, total = np.ones(n, np.int64), np.zeros(n, np.int64)
-        stop = end.copy()
+        live, at, stop = np.arange(n), words.start.copy(), words.end.copy()
+        state, total, klass = np.ones(n, np.int64), np.zeros(n, np.int64), self.klass[words.data]
         while len(live):
-            cell = state * self.width + self.klass[words.data[at]]
+            cell = self.base[state] + klass[at]
+            own = self.owner[cell] == state
+            if not own.all():
+                live, at, stop, state, total, cell = live[own], at[own], stop[own], state[own], total[own], cell[own]
             total = total + self.out[cell]
-            state = self.nxt[cell].astype(np.int64)
+            state = self.next[cell]
             at = at + 1
             done = at == stop
-            hit = done & (self.final[state] > 0)
-            result[live[hit]] = total[hit]
-            go = ~done & (state > 0)
-            live, at, stop, state, total = live[go], at[go], stop[go], state[go], total[go]
+            if done.any():
+                hit = done & (self.final[state] > 0)
+                result[live[hit]] = total[hit]
+                live, at, stop, state, total = live[~done], at[~done], stop[~done], state[~done], total[~done]
         return result
 
 
@@ -324,7 +368,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     batch_rows(docs.sparkSession, 1000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[bytes, int] = {}
+        counts: Counter[bytes] = Counter()
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
@@ -333,8 +377,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             words = Words([normal(t or "") for t in b.column(0).to_pylist()])
-            for w in words.slices(np.arange(len(words.start))):
-                counts[w] = counts.get(w, 0) + 1
+            counts.update(words.slices(np.arange(len(words.start))))
             if len(counts) > CACHE:
                 yield flush()
         yield flush()
