@@ -658,6 +658,98 @@ def test_pipeline(spark):
     assert not set(q.oracle_sql()) - set(q.queries())
 
 
+def kept_by_quality(docs, good):
+    """Which documents the classifier keeps, from the formulas: counts in dicts, one document after the other."""
+    fold = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 5 for r in docs}
+    trusted = [r for r in docs if r.doc_id in good and fold[r.doc_id]]
+    n = Counter(w for r in trusted for w in (r.text or "").split())
+    own = {w: quality.OWN + k for k, w in enumerate(sorted(w for w, c in n.items() if c >= max(2, quality.OWN_SHARE * sum(n.values()))))}
+    code = quality.Tokens(own)
+    parts = lambda x: [(int(k) >> 2 * quality.BITS, int(k) >> quality.BITS & (1 << quality.BITS) - 1, int(k) & (1 << quality.BITS) - 1) for k in quality.trigrams(x)]
+    tri = Counter(k for r in trusted for k in parts(code(r.text)))
+    orders = [tri, Counter((v, w) for _, v, w in tri)]
+    orders.append(Counter((w,) for _, w in orders[1]))
+
+    def discounts(cs):
+        m = Counter(c for c in cs if c <= 4)
+        y = m[1] / (m[1] + 2 * m[2]) if m[1] else 0
+        return [0, *(min(k, max(0.05, k - (k + 1) * y * m[k + 1] / m[k])) if m[1] and m[k] else 0.5 for k in (1, 2, 3))]
+
+    levels = []
+    for counts in orders:
+        d, total, left = discounts(counts.values()), Counter(), Counter()
+        for k, c in counts.items():
+            total[k[:-1]] += c
+            left[k[:-1]] += d[min(c, 3)]
+        levels.append((counts, d, total, left))
+
+    def p(key):
+        x = 1 / (quality.OWN + len(own))
+        for size, (counts, d, total, left) in zip((1, 2, 3), levels[::-1]):
+            k = key[3 - size :]
+            if total[k[:-1]]:
+                c = counts.get(k, 0)
+                x = ((c - d[min(c, 3)] if c else 0) + left[k[:-1]] * x) / total[k[:-1]]
+        return x
+
+    scored = []
+    for r in docs:
+        keys = parts(code(r.text))
+        scored.append((r, len(keys), sum(math.log10(p(k)) for k in keys)))
+    held = [(m, t) for r, m, t in scored if r.doc_id in good and not fold[r.doc_id]]
+    middle = np.quantile([math.floor(t / m * 1000) for m, t in held if m > 20], 0.5) / 1000
+    drawn = lambda m, t: (t + middle * quality.PRIOR) / (m + quality.PRIOR)
+    least = np.quantile([math.floor(drawn(m, t) * 1000) for m, t in held if m > 1], quality.FLOOR) / 1000
+    return [r for r, m, t in scored if m <= 1 or drawn(m, t) >= least]
+
+
+def test_pipeline_by_brute_force(spark, library):
+    """Each stage's result, given what the one before kept, against plain Python, a DuckDB query and the tokenizers library."""
+    stages = dict(pytest.importorskip("corpus_pipeline").STAGES)
+    ws = Workspace(spark)
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+    docs, labels = given.collect(), spark.read.parquet(f"{SF}/labels.parquet").collect()
+    worst = {}
+    for r in labels:
+        worst[r.doc_id] = min(worst.get(r.doc_id, 1), r.quality)
+    assert len(worst) < quality.LANGUAGE_ROWS * 5  # so the threshold is that of all languages
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    kept = kept_by_quality(docs, {i for i, q_ in worst.items() if q_ == 1})
+    one = ws.save(stages["quality"](spark, given, SF), "one")
+    assert rows(one) == sorted(map(tuple, kept)) and len(kept) < len(docs)
+    sets = [{tuple(words(r.text)[i : i + 5]) for i in range(max(1, len(words(r.text)) - 4))} for r in kept]
+    near = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and len(a & b) >= 0.8 * len(a | b)]
+    label = simhash.spanning(len(kept), [tuple(np.array(near).T)] if near else [])
+    first = {}
+    for r, k in sorted(zip(kept, label), key=lambda x: x[0].doc_id):
+        first.setdefault(k, r)
+    two = ws.save(stages["near_duplicates"](spark, one, SF), "two")
+    assert rows(two) == sorted(map(tuple, first.values())) and len(first) < len(kept)
+    three = ws.save(stages["personal_data"](spark, two, SF), "three")
+    spans = {r.doc_id: r.spans for r in pii.op9(two).collect()}
+    clean = {r.doc_id: r for r in three.collect()}
+    assert len(clean) == len(first)
+    for r in first.values():
+        text, at = "", 0
+        found = base(r.text)
+        assert [x for x in spans[r.doc_id].split(",") if x and not x.startswith("term")] == [f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in found]
+        if "term" not in spans[r.doc_id]:
+            for a, k, b in found:
+                text, at = text + r.text[at:a] + ("" if a < at else f"<{pii.KINDS[k].upper()}>"), max(at, b)
+            assert clean[r.doc_id].text == text + r.text[at:] and clean[r.doc_id].n_chars == len(clean[r.doc_id].text)
+    four = ws.save(stages["mixing"](spark, three, SF), "four")
+    con = duckdb.connect()
+    con.register("documents", three.toArrow())
+    copies = {i: taken // size for i, size, taken in con.sql(f"SELECT doc_id, size, taken FROM ({mixing.ORACLE}) WHERE size > 0").fetchall()}
+    mixed = four.collect()
+    assert Counter(r.doc_id for r in mixed if words(r.text)) == +Counter(copies) and all(tuple(r) == tuple(clean[r.doc_id]) for r in mixed)
+    want = Counter()
+    for r in mixed:
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        want[r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
+    assert Counter(map(tuple, stages["encoding"](spark, four, SF).collect())) == want
+
+
 @pytest.mark.parametrize("natives,visitors", [(100_000, 30_000), (40, 30)])
 def test_pipeline_keeps_one_of_similar_shingles(spark, monkeypatch, natives, visitors):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
