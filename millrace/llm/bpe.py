@@ -29,7 +29,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import Workspace, batch_rows, put_bytes, shared_dir
+from millrace.llm._shared import Workspace, batch_rows, put_bytes
 
 #: Share of all words from which a word goes into the lexicon.
 MIN_SHARE = 3e-6
@@ -394,7 +394,7 @@ def build_lexicon(docs: DataFrame, vocabulary: str, min_share: float = MIN_SHARE
     frequent = [bytes(r[0]) for r in counts.where(F.col("n") >= max(1, min_share * total)).select("word").collect()]  # at most 1 / min_share words
     ws.drop()
     name = f"lexicon-{hashlib.sha256(b' '.join(sorted(frequent))).hexdigest()[:16]}-{os.urandom(4).hex()}.bin"
-    uri = f"{shared_dir(spark)}/{name}"
+    uri = Workspace(spark).path(name)  # stays for executors that come later, until the session's end
     put_bytes(spark, uri, Lexicon.compile(frequent, Vocabulary(vocabulary)))
     spark.sparkContext.addFile(uri)  # Spark copies it to each node that runs tasks
     return name
