@@ -4,24 +4,54 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.plans.registry import Tables, query
 
 C = F.col
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, tie: str, values: list[str]) -> DataFrame:
-    """Each left row with the values of the last right row of its key at or before its time (nulls if none).
+#: Types of times whose quantiles Spark can sketch; others aren't sliced.
+SLICED = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+#: Slices of time at most.
+SLICES = 32
+
+
+def asof(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], left_time: str, right_time: str, op: str = ">=", tie: str | None = None) -> DataFrame:
+    """Each left row (struct ``l``) with the right row (struct ``r``, null if none) of its key whose time is nearest among those for which left op right holds.
 
-    Both sides are put in one stream and sorted once by key and time, which needs one shuffle and no pairs;
-    ``tie`` tells right rows of one time apart. Left and right may share no column but ``by``.
+    Times are cut into slices of about as many right rows each, by a sketch of bounded size, and a key's rows of a slice are one group: a hot key
+    is dealt over tasks. In a group both sides are one sorted run, without pairs; what earlier slices end with is carried over by one row for
+    each key and slice. Null keys and times match nothing; of right rows of one time that with the greatest ``tie`` counts (any, without one).
     """
-    a = left.withColumn("_t", C(left_time)).withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(right.select(F.struct(*values).alias("v")).schema["v"].dataType))
-    b = right.select(*by, C(right_time).alias("_t"), C(tie).alias("_tie"), F.lit(0).alias("_side"), F.struct(*values).alias("_v"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last("_v", ignorenulls=True).over(w)
-    return both.withColumn("_v", last).where("_side = 1").select(*left.columns, *(C(f"_v.{v}").alias(v) for v in values))
+    forward, meets = op in (">=", ">"), op in (">=", "<=")
+    names = [f"_k{i}" for i in range(len(keys))]
+    tied = C(tie) if tie else F.lit(0)
+    b = right.where(F.lit(True) if not keys else F.expr(" AND ".join(f"`{k}` IS NOT NULL" for _, k in keys))).where(C(right_time).isNotNull())
+    b = b.select(F.lit(None).cast(left.select(F.struct("*").alias("l")).schema["l"].dataType).alias("l"), F.struct("*").alias("r"), *(C(k).alias(n) for (_, k), n in zip(keys, names, strict=True)), C(right_time).alias("_t"), F.lit(0 if meets else 1).alias("_side"), tied.alias("_tie"))
+    a = left.select(F.struct("*").alias("l"), F.lit(None).cast(b.schema["r"].dataType).alias("r"), *(C(k).alias(n) for (k, _), n in zip(keys, names, strict=True)), C(left_time).alias("_t"), F.lit(1 if meets else 0).alias("_side"), F.lit(None).cast(b.schema["_tie"].dataType).alias("_tie"))
+    both = a.union(b)
+    if isinstance(both.schema["_t"].dataType, SLICED):
+        bounds = b.agg(F.percentile_approx("_t", [i / SLICES for i in range(1, SLICES)], 1000).alias("_bounds"))
+        at = F.coalesce(bounds.scalar(), F.array().cast(bounds.schema["_bounds"].dataType))
+        both = both.withColumn("_bounds", at).withColumn("_slice", F.size(F.filter("_bounds", lambda x: x <= C("_t")))).drop("_bounds")
+    else:
+        both = both.withColumn("_slice", F.lit(0))
+    cell = [*names, "_slice"]
+    order = [C("_t").asc_nulls_first() if forward else C("_t").desc_nulls_first(), C("_side"), C("_tie").asc_nulls_first()]
+    run = Window.partitionBy(*cell).orderBy(*order)
+    near = F.last("r", ignorenulls=True).over(run.rowsBetween(Window.unboundedPreceding, 0))
+    runs = both.withColumn("_near", near).withColumn("_ends", F.lead(F.lit(True)).over(run).isNull())
+    earlier = Window.partitionBy(*names).orderBy(C("_slice").asc() if forward else C("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = runs.where("_ends").select(*cell, F.last("_near", ignorenulls=True).over(earlier).alias("_carried"))
+    out = runs.where(C("l").isNotNull()).join(carried, cell, "left")
+    return out.select("l", F.when(C("_t").isNotNull(), F.coalesce("_near", "_carried")).alias("r"))
+
+
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, tie: str, values: list[str]) -> DataFrame:
+    """Each left row with the values of the last right row of its key at or before its time (nulls if none); ``tie`` tells right rows of one time apart."""
+    pairs = asof(left, right, [(k, k) for k in by], left_time, right_time, tie=tie)
+    return pairs.select("l.*", *(C(f"r.{v}").alias(v) for v in values))
 
 
 def range_join(points: DataFrame, ranges: DataFrame, point: Column, low: Column, high: Column, width: float) -> DataFrame:

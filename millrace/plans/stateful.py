@@ -145,6 +145,51 @@ def fetch_first_sql(t: Tables) -> DataFrame:
     return _customers(t).execute("SELECT id FROM c ORDER BY bal DESC, id FETCH FIRST 7 ROWS ONLY")
 
 
+def _events(t: Tables) -> TenantSession:
+    s = _session(t)
+    s.execute("CREATE TABLE e (id BIGINT NOT NULL, who BIGINT, ts TIMESTAMP, kind TEXT, value DOUBLE)")
+    s.execute("CREATE TABLE k (id BIGINT NOT NULL, who BIGINT, ts TIMESTAMP)")
+    s.write("e", t.events.selectExpr("event_id id", "user_id who", "CAST(ts AS TIMESTAMP) ts", "event_type kind", "value"))
+    s.write("k", t.events.where("event_type = 'click'").selectExpr("event_id id", "user_id who", "CAST(ts AS TIMESTAMP) ts").dropDuplicates(["who", "ts"]))
+    return s
+
+
+_K = "(SELECT min(event_id) AS id, user_id AS who, ts FROM events WHERE event_type = 'click' GROUP BY user_id, ts)"
+_E = "(SELECT event_id AS id, user_id AS who, ts, event_type AS kind FROM events)"
+
+
+@query(f"SELECT e.id AS id, epoch_us(e.ts) - epoch_us(k.ts) AS micros FROM {_E} e ASOF JOIN {_K} k ON e.who = k.who AND e.ts >= k.ts WHERE e.kind = 'purchase'")
+def asof_join_sql(t: Tables) -> DataFrame:
+    return _events(t).execute("SELECT e.id AS id, unix_micros(CAST(e.ts AS TIMESTAMP)) - unix_micros(CAST(k.ts AS TIMESTAMP)) AS micros FROM e ASOF JOIN k ON e.who = k.who AND e.ts >= k.ts WHERE e.kind = 'purchase'")
+
+
+@query(f"SELECT e.id AS id, epoch_us(k.ts) - epoch_us(e.ts) AS micros FROM {_E} e ASOF LEFT JOIN {_K} k ON e.who = k.who AND k.ts > e.ts")
+def asof_left_next_sql(t: Tables) -> DataFrame:
+    """The next click after each event, if there is one."""
+    return _events(t).execute("SELECT e.id AS id, unix_micros(CAST(k.ts AS TIMESTAMP)) - unix_micros(CAST(e.ts AS TIMESTAMP)) AS micros FROM e ASOF LEFT JOIN k ON e.who = k.who AND k.ts > e.ts")
+
+
+_FRAMES = """SELECT id, count(*) OVER (PARTITION BY seg ORDER BY floor(bal / 100) GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS n,
+ max(id) OVER (PARTITION BY seg ORDER BY floor(bal / 100) GROUPS BETWEEN 2 PRECEDING AND CURRENT ROW) AS m FROM {} WHERE id > 7"""
+
+
+@query(_FRAMES.format(_C))
+def groups_frame_sql(t: Tables) -> DataFrame:
+    return _customers(t).execute(_FRAMES.format("c"))
+
+
+_EXCLUDE = """SELECT id, count(bal) OVER (PARTITION BY seg ORDER BY id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING EXCLUDE CURRENT ROW) AS n,
+ round(sum(bal) OVER (PARTITION BY seg ORDER BY id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING EXCLUDE CURRENT ROW), 2) AS s,
+ round(avg(bal) OVER (ORDER BY id ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING EXCLUDE CURRENT ROW), 2) AS a,
+ min(bal) OVER (PARTITION BY seg ORDER BY floor(bal / 100) GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE GROUP) AS g,
+ max(bal) OVER (PARTITION BY seg ORDER BY floor(bal / 100) GROUPS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE TIES) AS t FROM {}"""
+
+
+@query(_EXCLUDE.format(_C))
+def exclude_frame_sql(t: Tables) -> DataFrame:
+    return _customers(t).execute(_EXCLUDE.format("c"))
+
+
 @query(f"SELECT id, name, true AS fewer_files FROM {_C} WHERE id BETWEEN 20 AND 24 OR id = 3")
 def pruned_select(t: Tables) -> DataFrame:
     """Files that can't hold rows of the condition aren't read: fewer_files says so."""
