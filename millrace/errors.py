@@ -38,3 +38,12 @@ class CommitConflict(EngineError):
 
 class IsolationViolation(EngineError):
     fatal = True
+
+
+class Denied(EngineError):
+    sqlstate = "28000"
+    fatal = True
+
+
+class TooMany(EngineError):
+    sqlstate = "53300"

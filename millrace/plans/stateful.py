@@ -7,11 +7,13 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame
 
 from millrace.engine import Engine, TenantSession
-from millrace.errors import AlreadyExists, CommitConflict, EngineError, InvalidLiteral, NotFound
+from millrace.errors import AlreadyExists, CommitConflict, Denied, EngineError, InvalidLiteral, NotFound, TooMany
 from millrace.functions.vectors import _query, search
 from millrace.plans.registry import Tables, query
 from millrace.plans.rest import as_json, rest_delete, rest_error, rest_insert, rest_select, rest_update
 from millrace.sources.files import fresh_dir
+from millrace.streaming.buffer import Writer
+from millrace.tenancy import FirstOf, StaticResolver, TokenResolver, signed
 
 
 def _session(t: Tables) -> TenantSession:
@@ -332,6 +334,101 @@ def log_since(t: Tables) -> DataFrame:
     return s._log("k").read_from(1)
 
 
+@query("SELECT count(*) + 20 AS n, 1::BIGINT AS entries, 20::BIGINT AS told FROM (SELECT c_custkey FROM customer)")
+def buffered_log(t: Tables) -> DataFrame:
+    """Twenty callers' rows go into one entry; a query of the same engine writes out what waits and sees them."""
+    s = _customers(t, 1)
+    s.engine.keeper.writer(s.tenant, "c", lambda: Writer(s._log("c"), most_s=600), lambda: s.compact("c"), lambda: s._behind("c"))
+    told = [s.buffer_log("c", [{"id": 900000 + i, "name": "w"}]) for i in range(20)]
+    n = s.execute("SELECT count(*) AS n FROM c")
+    return n.selectExpr("n", f"{len(s._log('c').numbers())}L entries", f"{sum(f.result(0) == 1 for f in told)}L told")
+
+
+@query("SELECT * FROM (VALUES ('after use', 1::BIGINT, 0::BIGINT, 0::BIGINT), ('compacted', 1, 1, 0), ('idle', 0, 1, 1)) v(round, tables, compactions, evictions)")
+def keeper_rounds(t: Tables) -> DataFrame:
+    """The keeper compacts a tail when it is due and evicts a table that nobody uses, but not while rows wait."""
+    s = _session(t)
+    s.execute("CREATE TABLE k (id BIGINT NOT NULL)")
+    now = [0.0]
+    s.engine.keeper.clock = lambda: now[0]
+    s.buffer_log("k", [{"id": 1}])
+    got = []
+    for at, what in ((1, "after use"), (31, "compacted"), (301, "idle")):
+        now[0] = at
+        s.engine.keeper.tick()
+        x = s.engine.keeper.stats()
+        got.append((what, x["tables"], x["compactions"], x["evictions"]))
+    assert s.execute("SELECT count(*) AS n FROM k").first().n == 1 and x["failures"] == 0
+    return t.spark.createDataFrame(got, "round string, tables long, compactions long, evictions long")
+
+
+@query("SELECT * FROM (VALUES ('ana', 'north'), ('ben', 'south'), ('cy', NULL), ('dee', NULL), ('eve', NULL)) v(user, tenant)")
+def user_resolution(t: Tables) -> DataFrame:
+    """Users of a fixed list, then holders of signed tokens; a wrong secret, an expired and a forged token are denied."""
+    key = b"k1"
+    asked = {"ana": "pw", "ben": signed({"tenant": "south", "sub": "ben", "exp": 200}, key), "cy": "guess", "dee": signed({"tenant": "south", "exp": 50}, key), "eve": signed({"tenant": "south"}, b"k2")}
+    who = FirstOf([StaticResolver({"ana": ("north", "pw"), "cy": ("north", "right")}), TokenResolver(key, clock=lambda: 100.0)])
+    got = []
+    for user, secret in asked.items():
+        try:
+            got.append((user, who.tenant(user, secret)))
+        except Denied:
+            got.append((user, None))
+    return t.spark.createDataFrame(got, "user string, tenant string")
+
+
+@query("SELECT 6 * count(*) AS rows, 2::BIGINT AS peak, true AS refused FROM nation")
+def tenant_permits(t: Tables) -> DataFrame:
+    """Six readers of one tenant with two permits: all get their rows, never more than two at a time; one that won't wait is refused."""
+    s = Engine(t.spark, fresh_dir(t.spark, "engine"), most_jobs=2).session("acme")
+    s.execute("CREATE TABLE k (id BIGINT)")
+    s.write("k", t.nation.selectExpr("CAST(n_nationkey AS BIGINT) id"))
+    with ThreadPoolExecutor(6) as pool:
+        n = sum(pool.map(lambda _: len(s.engine.session("acme").fetch("SELECT id FROM k")), range(6)))
+    refused = False
+    with s.engine.permits.hold("acme"), s.engine.permits.hold("acme"):
+        try:
+            s.fetch("SELECT 1", wait_s=0.01)
+        except TooMany:
+            refused = True
+    return t.spark.createDataFrame([(n, s.engine.permits.peak["acme"], refused)], "rows long, peak long, refused boolean")
+
+
+@query("SELECT * FROM (VALUES ('same session', true), ('waited', true), ('refused', true)) v(what, held)")
+def session_leases(t: Tables) -> DataFrame:
+    """A leased session is one holder's: a second one waits for it, or is refused when it won't."""
+    engine = Engine(t.spark, fresh_dir(t.spark, "engine"), most_a_tenant=1)
+    got, first = [], engine.acquire("acme", "a")
+    with ThreadPoolExecutor(1) as pool:
+        with engine.lease("acme", "a") as held:
+            got.append(("same session", held is first))
+            later = pool.submit(lambda: engine.lease("acme", "b", 30).__enter__())
+            try:
+                with engine.lease("acme", "c", 0.05):
+                    pass
+            except TooMany:
+                got.append(("refused", not later.done()))
+        got.append(("waited", later.result(30).tenant == "acme"))
+    return t.spark.createDataFrame(got, "what string, held boolean")
+
+
+@query("SELECT id, name FROM (SELECT c_custkey AS id, c_name AS name, c_acctbal > 5000 AS rich FROM customer) WHERE rich = true AND name > 'Customer#000000100' OR rich = false AND name < 'a'")
+def boolean_and_bytes(t: Tables) -> DataFrame:
+    """Equality of booleans, and texts compared by their bytes: capitals are before small letters."""
+    s = _session(t)
+    s.execute("CREATE TABLE k (id BIGINT, name TEXT, rich BOOLEAN)")
+    s.write("k", t.customer.selectExpr("c_custkey id", "c_name name", "c_acctbal > 5000 rich"))
+    return s.execute("SELECT id, name FROM k WHERE rich = true AND name > 'Customer#000000100' OR rich = false AND name < 'a'")
+
+
+@query("SELECT s FROM (VALUES ('z'), ('é'), ('Z'), ('日'), ('')) v(s) WHERE s > 'a' ORDER BY s")
+def bytewise_text(t: Tables) -> DataFrame:
+    s = _session(t)
+    s.execute("CREATE TABLE k (s TEXT)")
+    s.execute("INSERT INTO k VALUES ('z'), ('é'), ('Z'), ('日'), ('')")
+    return s.execute("SELECT s FROM k WHERE s > 'a' ORDER BY s")
+
+
 _Q = _query()
 _QTEXT = "[" + ", ".join(map(repr, _Q)) + "]"
 _QSQL = "[" + ", ".join(f"{x!r}::DOUBLE" for x in _Q) + "]"

@@ -38,13 +38,20 @@ class Log:
         marks = [int(p.rpartition("/")[2]) for p, _, _ in self.files.list(f"{self.dir}/truncated")]
         return max([0, *marks])
 
-    def append(self, rows: Iterable[dict]) -> int:
-        """Writes rows as one entry and returns its number, one more than the last."""
+    def encode(self, rows: Iterable[dict]) -> list[str]:
+        """Rows as lines of an entry; a row that doesn't fit the table is refused."""
         schema = self.catalog.load(self.tenant, self.table).struct()
         lines = []
         for row in rows:
             own = {f.name: coerce(row.get(f.name), f) for f in schema.fields}
             lines.append(json.dumps({k: bytes(v).hex() if isinstance(v, bytearray) else str(v) if hasattr(v, "isoformat") else v for k, v in own.items()}))
+        return lines
+
+    def append(self, rows: Iterable[dict]) -> int:
+        """Writes rows as one entry and returns its number, one more than the last."""
+        return self.append_lines(self.encode(rows))
+
+    def append_lines(self, lines: list[str]) -> int:
         n = self.high_water() + 1
         while not self.files.create(f"{self.dir}/entries/{n:020d}.json", "\n".join(lines) + "\n"):
             n += 1
