@@ -443,7 +443,7 @@ def _vectors(t: Tables) -> TenantSession:
 
 @query("SELECT count(*) AS queries, true AS enough, 3::BIGINT AS metrics FROM embeddings WHERE vec_id % 500 = 0")
 def vector_index_recall(t: Tables) -> DataFrame:
-    """Of the ten nearest by a full scan the index finds 0.9 at least, averaged over stated queries, for each metric; the last write is indexed by itself."""
+    """Of the ten nearest by a full scan the index finds 0.9 at least, averaged over stated queries, for each metric; the last write is indexed by itself. A row as near as the tenth is one of them."""
     s = Engine(t.spark, fresh_dir(t.spark, "engine")).session("acme")
     s.execute("CREATE TABLE v (id BIGINT NOT NULL, e vector(64))")
     s.write("v", t.embeddings.where("vec_id % 3 < 2").selectExpr("vec_id id", "embedding e").repartition(2, "id"))
@@ -455,8 +455,8 @@ def vector_index_recall(t: Tables) -> DataFrame:
     for metric in ("l2", "cosine", "dot"):
         hit = 0
         for _, q in asked:
-            want = {r.id for r in search(s.table("v"), "e", q, 10, metric, "id").select("id").collect()}
-            hit += len(want & {r.id for r in s.vector_search("v", "e", q, 10, metric).select("id").collect()})
+            far = max(r._distance for r in search(s.table("v"), "e", q, 10, metric, "id").collect())
+            hit += len({r.id for r in s.vector_search("v", "e", q, 10, metric).collect() if r._distance <= far})
         enough += hit >= 0.9 * 10 * len(asked)
     return t.spark.createDataFrame([(len(asked), enough == 3, 3)], "queries long, enough boolean, metrics long")
 

@@ -1,12 +1,15 @@
 """Vector indexes: for each data file of a table one segment of inverted lists, merged when searched.
 
 A segment's vectors are dealt to about the square root of their number of lists by k-means (trained on at most TRAIN of them). A
-list is a row of Parquet: file, list, centroid, positions of its rows in the file, and their vectors. A header (JSON, created once
-and whole) names an index build's metric, dimension, folder and segments. A search ranks each segment's lists by
-their centroids, reads the nearest PROBES share of them, keeps the k best of each task and merges them; data files without a segment
-are scanned, so a table is searched as a whole whether or not its last writes are indexed. Rows are read back by position.
-
-Null vectors are in no list. Distances of what is found are computed from the rows themselves.
+list is a row of Parquet: file, list, centroid, radius (the farthest of its vectors), positions of its rows in the file, and their
+vectors. A header (JSON, created once and whole) names an index build's metric, dimension, folder and segments. A search ranks each
+segment's lists by their centroids, reads the nearest PROBES share of them, keeps the k best of each task and merges them. Then it reads
+every other list that by the triangle inequality may hold a vector nearer than the k-th of these, so that what it finds are the k nearest; vectors
+that form no groups leave few lists out. Data files without a segment are scanned, so a table is searched as a whole whether or not
+its last writes are indexed. Rows are read back by position.
+
+Null vectors are in no list. Lists without a radius (version 1) or with components that aren't finite are always read. Which of several rows at the
+distance of the k-th are found is open. Distances of what is found are computed from the rows themselves.
 """
 
 from __future__ import annotations
@@ -26,10 +29,12 @@ from millrace.errors import InvalidSchema
 from millrace.functions import vectors
 from millrace.sources.files import Files
 
-MAGIC, VERSION = "millrace-lists", 1
-#: Vectors that a segment's centroids are trained on, rounds of k-means, most lists of a segment, and the share of lists that a search reads.
+MAGIC, VERSION = "millrace-lists", 2
+#: Vectors that a segment's centroids are trained on, rounds of k-means, most lists of a segment, and the share of lists that a search reads first.
 TRAIN, ROUNDS, MOST_LISTS, PROBES = 16_384, 6, 4096, 0.4
-_ROWS = "file string, list int, centroid array<float>, positions binary, data binary"
+_ROWS = "file string, list int, centroid array<float>, positions binary, data binary, radius double"
+#: Share by which bounds are widened, far above the rounding of doubles.
+SLACK = 1e-9
 
 
 @dataclass
@@ -45,9 +50,31 @@ def _normed(x: np.ndarray, metric: str) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), vectors.EPSILON) if metric == "cosine" else x
 
 
+def _exact(x: np.ndarray, metric: str) -> np.ndarray:
+    """In double precision, for the cosine of length 1 (or 0)."""
+    x = x.astype(np.float64)
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(n == 0, 1, n) if metric == "cosine" else x
+
+
 def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
-    """The lower the nearer."""
-    return ((x - q) ** 2).sum(axis=1) if metric == "l2" else -(x @ q)
+    """The lower the nearer, in double precision; ordered as the distances of ``vectors``."""
+    x = x.astype(np.float64)
+    if metric == "l2":
+        return ((x - q) ** 2).sum(axis=1)
+    return -(x @ q) / (np.maximum(np.linalg.norm(x, axis=1) * np.linalg.norm(q), vectors.EPSILON) if metric == "cosine" else 1.0)
+
+
+def _bounds(q: np.ndarray, c: np.ndarray, radius: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of centroids, and those that no vector within their radius is below (NaN: unknown)."""
+    c = c.astype(np.float64)
+    if metric == "l2":
+        far = np.sqrt(((c - q) ** 2).sum(axis=1))
+        return far**2, np.maximum(far - radius - SLACK * (far + radius), 0.0) ** 2
+    q = _exact(q[None, :], metric)[0]
+    n, dots = np.linalg.norm(q), c @ q
+    low = -dots - n * radius - SLACK * n * (np.linalg.norm(c, axis=1) + radius)
+    return -dots, np.minimum(low, 0.0) if metric == "cosine" else low  # the least denominator of the cosine draws small vectors to 0
 
 
 def _assign(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -68,7 +95,7 @@ def build(spark: SparkSession, files: Files, table_dir: str, name: str, data: li
     def segment(t: pa.Table) -> pa.Table:
         at = t.column("at").to_numpy()
         x = np.array(t.column("v").to_pylist(), np.float32).reshape(len(at), -1)
-        x = _normed(x, metric)
+        raw, x = x, _normed(x, metric)
         rng, m = np.random.default_rng(5), max(1, min(MOST_LISTS, round(math.sqrt(len(x)))))
         some = x[rng.permutation(len(x))[:TRAIN]]
         centroids = some[:m].copy()
@@ -79,8 +106,9 @@ def build(spark: SparkSession, files: Files, table_dir: str, name: str, data: li
             centroids[n > 0] = (sums[n > 0] / n[n > 0, None]).astype(np.float32)
         near = _assign(x, centroids)
         own = [np.flatnonzero(near == k) for k in range(m)]
-        rows = [(t.column("file")[0].as_py(), k, centroids[k].tolist(), at[i].astype("<i8").tobytes(), x[i].tobytes()) for k, i in enumerate(own) if len(i)]
-        return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.list_(pa.float32()), pa.binary(), pa.binary()))], names=[c.split()[0] for c in _ROWS.split(", ")])
+        far = lambda k, i: float(np.linalg.norm(_exact(raw[i], metric) - centroids[k].astype(np.float64), axis=1).max())
+        rows = [(t.column("file")[0].as_py(), k, centroids[k].tolist(), at[i].astype("<i8").tobytes(), raw[i].tobytes(), far(k, i)) for k, i in enumerate(own) if len(i)]
+        return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.list_(pa.float32()), pa.binary(), pa.binary(), pa.float64()))], names=[c.split()[0] for c in _ROWS.split(", ")])
 
     paths = [f.path for f in data]
     path = f"{table_dir}/index/{name}"
@@ -106,21 +134,21 @@ def builds(files: Files, table_dir: str, column: str | None = None) -> list[Buil
     return out
 
 
-def hits(spark: SparkSession, found: list[Build], data: list[DataFile], query: list[float], k: int, metric: str, probes: float | None = None) -> tuple[DataFrame | None, list[DataFile]]:
-    """(file, at) of the nearest rows by the segments, k at most, and the data files that no segment covers."""
+def hits(spark: SparkSession, found: list[Build], data: list[DataFile], query: list[float], k: int, metric: str, probes: float | None = None) -> tuple[list[tuple[str, int]] | None, list[DataFile]]:
+    """(file, at) of the k nearest rows of the segments, and the data files that no segment covers. ``probes`` is the share of lists read first."""
     found = [b for b in found if b.metric == metric]
     paths = {located(f.path)[1]: f for f in data}
     covered = {located(p)[1] for b in found for p in b.files} & set(paths)
     if not covered:
         return None, data
-    q = _normed(np.array([query], np.float32), metric)[0]
+    q = np.array(query, np.float64)
     share = PROBES if probes is None else probes
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                c = np.array(b.column("centroid").to_pylist(), np.float32)
-                yield pa.RecordBatch.from_arrays([b.column("file"), b.column("list"), pa.array(_scores(q, c, metric).astype(np.float64))], ["file", "list", "d"])
+                c, radius = np.array(b.column("centroid").to_pylist(), np.float32), np.array(b.column("radius").to_pylist(), np.float64)
+                yield pa.RecordBatch.from_arrays([b.column("file"), b.column("list"), *map(pa.array, _bounds(q, c, radius, metric))], ["file", "list", "d", "low"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[tuple[float, str, int]] = []
@@ -129,19 +157,34 @@ def hits(spark: SparkSession, found: list[Build], data: list[DataFile], query: l
                 d = _scores(q, np.frombuffer(data, np.float32).reshape(-1, len(q)), metric)
                 own = np.argsort(d, kind="stable")[:k]
                 best += [(float(d[i]), file, int(x)) for i, x in zip(own, np.frombuffer(at, "<i8")[own], strict=True)]
-            best = sorted(best)[:k]
+            best = sorted(best, key=_order)[:k]
         yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in best], t) for j, t in enumerate((pa.float64(), pa.string(), pa.int64()))], ["d", "file", "at"])
 
     index = spark.read.schema(_ROWS).parquet(*(b.path for b in found))
     if len(covered) < sum(len(b.files) for b in found):  # segments of files that the snapshot no longer has
         live = spark.createDataFrame([(p,) for p in sorted(covered)], "live string")
         index = index.join(F.broadcast(live), F.regexp_replace("file", "^[A-Za-z0-9+.-]+:(//[^/]*)?/*", "/") == F.col("live"), "left_semi")
+
+    def best_of(chosen: DataFrame) -> list[tuple[float, str, int]]:
+        got = index.join(chosen, ["file", "list"], "left_semi").select("file", "positions", "data").mapInArrow(rows, "d double, file string, at long")
+        return [tuple(r) for r in got.orderBy("d", "file", "at").limit(k).collect()]  # k rows at most
+
     # each segment keeps the nearest share of its lists: a scan of centroids alone, then one of the chosen lists
-    near = index.select("file", "list", "centroid").mapInArrow(lists, "file string, list int, d double")
-    per = near.groupBy("file").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "list"))), F.lit(1), F.greatest(F.lit(1), F.ceil(F.count("*") * share).cast("int"))).alias("c"))  # at most MOST_LISTS a file
-    chosen = per.select("file", F.explode("c.list").alias("list"))
-    got = index.join(chosen, ["file", "list"], "left_semi").select("file", "positions", "data").mapInArrow(rows, "d double, file string, at long")
-    return got.orderBy("d", "file", "at").limit(k).select("file", "at"), [f for p, f in paths.items() if p not in covered]
+    near = index.select("file", "list", "centroid", "radius").mapInArrow(lists, "file string, list int, d double, low double")
+    per = near.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("d", "list", "low"))).alias("c"))  # at most MOST_LISTS a file
+    first = F.greatest(F.lit(1), F.ceil(F.size("c") * share).cast("int"))
+    best = best_of(per.select("file", F.explode(F.slice("c", 1, first)).alias("l")).select("file", "l.list"))
+    if share < 1 and k:  # the other lists, unless their bound is as far as the k-th found; NaN is above all numbers
+        rest = per.select("file", F.explode(F.slice("c", first + 1, F.size("c"))).alias("l")).select("file", "l.*")
+        if len(best) == k and best[-1][0] == best[-1][0]:
+            rest = rest.where(F.isnan("low") | (F.col("low") < best[-1][0]))
+        best = sorted(best + best_of(rest.select("file", "list")), key=_order)[:k]
+    return [(file, at) for _, file, at in best], [f for p, f in paths.items() if p not in covered]
+
+
+def _order(hit: tuple[float, str, int]) -> tuple:
+    """As Spark sorts: NaN after all numbers."""
+    return (hit[0] != hit[0], 0.0 if hit[0] != hit[0] else hit[0], *hit[1:])
 
 
 def read_back(spark: SparkSession, schema, data: list[DataFile], at: list[tuple[str, int]]) -> DataFrame:
