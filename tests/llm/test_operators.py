@@ -220,6 +220,12 @@ def test_quality(spark, docs, empty, monkeypatch):
     assert quality.assess(empty, labels).count() == 0
 
 
+def test_quality_learns_from_all_trusted_texts(spark):
+    ids = spark.range(26_000).withColumnRenamed("id", "doc_id")
+    own = quality.trusted_rows(ids.selectExpr("doc_id", "'en' lang", "'a text' text"), ids.selectExpr("doc_id", "1 quality"))
+    assert sorted(r.doc_id for r in own.collect()) == [i for i in range(26_000) if zlib.crc32(str(i).encode()) % 5]
+
+
 # -- neighbours
 
 
