@@ -14,9 +14,11 @@ Bounds of distance prune little among random fingerprints: of all pairs about 36
 level and 13 % by the second. More than MANY fingerprints therefore begin at the second level.
 
 ``keep_one`` is for similarity of shingles: Jaccard FIFTHS / 5 or more. There fingerprints have 128 bits, of which similar sets
-differ in about 20 and hardly ever in more than NEAR, while others differ in 64. No vantage point among the fingerprints prunes at
-such a radius. The empty text does: its distance from a set is the set's size, and sizes of similar sets differ by a quarter at
-most, so cells are bands of sizes. Pairs found are candidates, and their shingles decide: first each
+differ in about 20 and hardly ever in more than NEAR, while others differ in 64. All distances from a fixed vantage point are near 64
+too and bound nothing at such a radius, so the first level has the empty text: its distance from a set is the set's size, and sizes
+of similar sets differ by a quarter at most, so cells are bands of sizes, which overlap. On the second level, inside of a task, vantage points are
+fingerprints of the data: natives near one are its ball, and visitors that by the triangle inequality are too far from all of a ball are
+not compared with it. So groups of near copies are kept apart, while texts like no other are in no ball and meet all. Pairs found are candidates, and their shingles decide: first each
 candidate meets a few partners, whatever the size of its group, and those found similar become components; then all candidates that
 are in different components yet are compared.
 
@@ -48,8 +50,10 @@ VANTAGE = 0x0F1E2D3C4B5A6978
 MANY = 1 << 21
 #: Natives of a block and visitors of a salt at most, about; pairs from which a task is split into branches.
 NATIVES, VISITORS, BRANCH_PAIRS = 100_000, 30_000, 4_000_000
-#: For ``keep_one``: words of a shingle, least Jaccard similarity in fifths, differing bits of 128, turns in which a candidate meets few partners, parts of a group that choose theirs by themselves, and parts of the hashes whose shingles are counted.
-WORDS, FIFTHS, NEAR, TURNS, PARTS, BUCKETS = 5, 4, 40, 2, 8, 256
+#: For ``keep_one``: words of a shingle, least Jaccard similarity in fifths, differing bits of 128, the same where sets of fewer than SHORT shingles take part, turns in which a candidate meets few partners, parts of a group that choose theirs by themselves, and parts of the hashes whose shingles are counted.
+WORDS, FIFTHS, NEAR, NEAR_SHORT, SHORT, TURNS, PARTS, BUCKETS = 5, 4, 46, 52, 6, 2, 8, 256
+#: Vantage points of a round, differing bits from one in its ball, natives that make a ball, and the part of a round's natives that balls must take for another round.
+POINTS, BALL, FEW, WORTH = 32, 20, 8, 16
 
 
 def signed(x: int) -> int:
@@ -237,6 +241,45 @@ def may_be_similar(counts: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.nd
     return np.concatenate(out)
 
 
+def apart(prints: tuple[np.ndarray, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of the 128-bit fingerprints of rows x (down) and y (across)."""
+    out = np.bitwise_count(prints[0][x, None] ^ prints[0][None, y])
+    out += np.bitwise_count(prints[1][x, None] ^ prints[1][None, y])
+    return out
+
+
+def balls(prints: tuple[np.ndarray, np.ndarray], a: np.ndarray, rank: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows a dealt by vantage points, which are rows of least rank: (rows, vantage points, least and greatest distance from each).
+
+    A ball has the rows within BALL of a vantage point that is their nearest. The others get vantage points of their own as long as balls
+    take a part of them worth a round; what is left in the end is the last of the groups. Rows keep their order.
+    """
+    while len(a):
+        v = a[np.argsort(rank[a], kind="stable")[:POINTS]]
+        d = apart(prints, a, v)
+        near = np.where(d.min(axis=1) <= BALL, d.argmin(axis=1), -1)
+        n = np.bincount(near + 1, minlength=len(v) + 1)[1:]
+        near[(near >= 0) & (n[near] < FEW)] = -1
+        last = (near >= 0).sum() * WORTH < len(a)
+        for k in np.unique(near):
+            own = near == k
+            if k >= 0 or last:
+                yield a[own], v, d[own].min(axis=0), d[own].max(axis=0)
+        if last:
+            return
+        a = a[near < 0]
+
+
+def met(prints: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray, rank: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Groups of rows a, each with the rows b that can be within the radius of one of them; all at once if there are few pairs."""
+    if len(a) * len(b) <= BRANCH_PAIRS:
+        yield a, b
+        return
+    for own, v, least, greatest in balls(prints, a, rank):
+        d = np.concatenate([apart(prints, b[i : i + 10_000], v) for i in range(0, len(b), 10_000)]).astype(np.int16)
+        yield own, b[((d + radius >= least) & (d - radius <= greatest)).all(axis=1)]
+
+
 _SETS = "_row long, id long, node long, size long, f0 long, f1 long, held binary"
 
 
@@ -274,38 +317,37 @@ def candidates(sets: DataFrame, turn: int, every: bool = False) -> DataFrame:
         native = t.column("native").to_numpy(zero_copy_only=False)
         node, size, f0, f1, group = (t.column(c).to_numpy() for c in names[:-1])
         counts = np.frombuffer(b"".join(t.column("held").to_pylist()), "<u2").reshape(-1, BUCKETS)
-        f0, f1 = f0.view(np.uint64), f1.view(np.uint64)
+        prints, ids = (f0.view(np.uint64), f1.view(np.uint64)), node.view(np.uint64)
+        near = NEAR_SHORT if len(size) and size.min() < SHORT else NEAR
         by_size = np.argsort(size, kind="stable")
-        a, b = by_size[native[by_size]], by_size[~native[by_size]]
-        rank = [mixed(node[a].view(np.uint64), turn * PARTS + p + 1) for p in range(PARTS)]
-        part = (mixed(node.view(np.uint64), 99) % np.uint64(PARTS)).astype(int)
-        mine, most, whom = mixed(node.view(np.uint64), turn), np.full(len(a), 0xFFFFFFFFFFFFFFFF, np.uint64), np.full(len(a), -1)
+        natives, visitors = by_size[native[by_size]], by_size[~native[by_size]]
+        rank = np.stack([mixed(ids, turn * PARTS + p + 1) for p in range(PARTS)])
+        part, mine = (mixed(ids, 99) % np.uint64(PARTS)).astype(int), mixed(ids, turn)
+        # of each row as a visitor, and as a native, the partner of least hash
+        best = [(np.full(len(node), 0xFFFFFFFFFFFFFFFF, np.uint64), np.full(len(node), -1)) for _ in range(2)]
         out: list[tuple[np.ndarray, np.ndarray]] = [(node[:0], node[:0])]
-        step = max(1, 400_000 // max(1, len(a)))
-        for i in range(0, len(b), step):
-            y = b[i : i + step]
-            low, high = np.searchsorted(size[a], [-(-FIFTHS * size[y[0]] // 5), 5 * size[y[-1]] // FIFTHS + 1])
-            x = a[low:high]
-            apart = np.bitwise_count(f0[y, None] ^ f0[None, x])
-            apart += np.bitwise_count(f1[y, None] ^ f1[None, x])
-            p, q = np.nonzero(apart <= NEAR)
-            keep = (group[y[p]] != group[x[q]]) & (5 * np.minimum(size[y[p]], size[x[q]]) >= FIFTHS * np.maximum(size[y[p]], size[x[q]]))
-            p, q = y[p[keep]], q[keep] + low
-            keep = may_be_similar(counts, size, p, a[q])
-            p, q = p[keep], q[keep]
-            if every or not len(p):
-                out.append((node[p], node[a[q]]))
-                continue
-            here = np.stack(rank)[part[p], q]
-            first = np.lexsort((here, p))
-            first = first[np.concatenate([[True], p[first][1:] != p[first][:-1]])]  # of each visitor the partner of least hash
-            out.append((node[p[first]], node[a[q[first]]]))
-            last = np.lexsort((mine[p], q))
-            last = last[np.concatenate([[True], q[last][1:] != q[last][:-1]])]  # and of each native, over all visitors
-            last = last[mine[p[last]] < most[q[last]]]
-            most[q[last]], whom[q[last]] = mine[p[last]], p[last]
-        met = np.flatnonzero(whom >= 0)
-        out.append((node[whom[met]], node[a[met]]))
+        for a, b in met(prints, natives, visitors, rank[0], near):
+            step = max(1, 400_000 // max(1, len(a)))
+            for i in range(0, len(b), step):
+                y = b[i : i + step]
+                low, high = np.searchsorted(size[a], [-(-FIFTHS * size[y[0]] // 5), 5 * size[y[-1]] // FIFTHS + 1])
+                p, q = np.nonzero(apart(prints, y, a[low:high]) <= near)
+                p, q = y[p], a[low + q]
+                keep = (group[p] != group[q]) & (5 * np.minimum(size[p], size[q]) >= FIFTHS * np.maximum(size[p], size[q]))
+                p, q = p[keep], q[keep]
+                keep = may_be_similar(counts, size, p, q)
+                p, q = p[keep], q[keep]
+                if every:
+                    out.append((node[p], node[q]))
+                    continue
+                for (least, whom), x, other, hashed in ((best[0], p, q, rank[part[p], q]), (best[1], q, p, mine[p])):
+                    first = np.lexsort((hashed, x))
+                    first = first[np.concatenate([[True], x[first][1:] != x[first][:-1]])] if len(x) else first
+                    first = first[hashed[first] < least[x[first]]]
+                    least[x[first]], whom[x[first]] = hashed[first], other[first]
+        for _, whom in best:
+            own = np.flatnonzero(whom >= 0)
+            out.append((node[own], node[whom[own]]))
         x, y = (np.concatenate([o[k] for o in out]) for k in range(2))
         return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 

@@ -408,6 +408,35 @@ def test_simhash_rows(spark, docs, empty):
     assert simhash.op6(empty).count() == 0
 
 
+def test_vantage_points_of_the_data_lose_no_pair(monkeypatch):
+    rng = np.random.default_rng(8)
+    random = rng.integers(0, 1 << 63, (1500, 2), dtype=np.uint64)
+    copies = [random[k] ^ np.array([[1 << int(x), 1 << int(y)] for x, y in rng.integers(0, 63, (500, 2))], np.uint64) for k in range(3)]
+    prints = tuple(np.concatenate([random, *copies]).T.copy())
+    rank, every = rng.permutation(3000), np.arange(3000)
+    monkeypatch.setattr(simhash, "BRANCH_PAIRS", 1000)
+    a, b = every[::2], every[1::2]
+    met = np.zeros((3000, 3000), int)
+    for x, y in simhash.met(prints, a, b, rank, simhash.NEAR):
+        met[np.ix_(x, y)] += 1
+    near = simhash.apart(prints, a, b) <= simhash.NEAR
+    met = met[np.ix_(a, b)]
+    assert near.sum() > 3 * 200**2 and (met[near] == 1).all() and met.max() == 1
+    assert (met == 0).sum() > 0.15 * met.size  # pairs that the bound spares: of visitors out of the groups with the groups' members
+
+
+@pytest.mark.parametrize("pairs", [4_000_000, 100])
+def test_keep_one_of_short_texts_with_far_fingerprints(spark, monkeypatch, pairs):
+    monkeypatch.setattr(simhash, "BRANCH_PAIRS", pairs)
+    rows = []
+    for n in (855, 2297, 7779):  # 4 of 5 shingles in common, yet more than 40 bits of 128 differ
+        w = [f"{n}x{i}" for i in range(9)]
+        rows += [(2 * n, " ".join(w[:8])), (2 * n + 1, " ".join(w))]
+    rows += [(-i, " ".join(f"{i}y{k}" for k in range(8))) for i in range(1, 300)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _ in rows if i < 0 or i % 2 == 0)
+
+
 # -- BPE
 
 
