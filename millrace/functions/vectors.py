@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from millrace.plans.registry import Tables, query
 
@@ -61,6 +62,91 @@ def search(df: DataFrame, column: str, vector: list[float], k: int, metric: str
     return found.orderBy("_distance", *([tie] if tie else [])).limit(k)
 
 
+#: Query vectors of a block, which is sent to every scan task.
+QUERY_ROWS = 4096
+
+
+def distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """From each of q to each of x, summed component by component in double precision, so that they are the doubles of the column forms (of two columns)."""
+    q, x = np.ascontiguousarray(q.T, np.float64), np.ascontiguousarray(x.T, np.float64)  # a row for each component
+    out = np.zeros((q.shape[1], x.shape[1]))
+    for i in range(0, out.shape[0], 32):  # blocks that stay in a core's cache
+        for j in range(0, out.shape[1], 1024):
+            total = out[i : i + 32, j : j + 1024]
+            one = np.empty_like(total)
+            for a, b in zip(q[:, i : i + 32, None], x[:, None, j : j + 1024], strict=True):
+                if metric == "l2":
+                    np.subtract(a, b, out=one)
+                    one *= one
+                else:
+                    np.multiply(a, b, out=one)
+                total += one
+    if metric == "l2":
+        return np.sqrt(out, out=out)
+    if metric == "dot":
+        return np.negative(out, out=out)
+    norms = [np.sqrt(sum((v * v for v in y), np.zeros(y.shape[1]))) for y in (q, x)]
+    return 1 - out / np.maximum(norms[0][:, None] * norms[1], EPSILON)
+
+
+def nearest_each(found: DataFrame, k: int, *ties: str) -> DataFrame:
+    """The k rows of each _query with the least _distance."""
+    rank = F.row_number().over(Window.partitionBy("_query").orderBy("_distance", *ties))
+    return found.withColumn("_rank", rank).where(C("_rank") <= k).drop("_rank")
+
+
+def search_many(df: DataFrame, column: str, queries: list[list[float]], k: int, metric: str = "l2", tie: str | None = None) -> DataFrame:
+    """``search`` for many vectors at once: rows with _query, the vector's place in the list, and _distance. One scan for each QUERY_ROWS vectors, k rows of each vector a task, one merge; ties by a column of numbers."""
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric}")
+    rows, found = df.where(C(column).isNotNull() & ~F.exists(column, lambda x: x.isNull())), None
+    for at in range(0, max(1, len(queries)), QUERY_ROWS):
+        block = _scan_block(rows, column, np.array(queries[at : at + QUERY_ROWS], np.float64), at, k, metric, tie)
+        found = block if found is None else found.union(block)
+    return nearest_each(found, k, *([tie] if tie else []))
+
+
+def _scan_block(df: DataFrame, column: str, q: np.ndarray, start: int, k: int, metric: str, tie: str | None) -> DataFrame:
+    sent = df.sparkSession.sparkContext.broadcast(q)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, held = sent.value, None
+        far = np.full(len(q), np.inf)  # of each vector's k-th row so far
+        for b in batches:
+            v = b.column(column)
+            if not b.num_rows or not len(q) or not k:
+                continue
+            if (np.diff(v.offsets.to_numpy()) != q.shape[1]).any():
+                raise ValueError("vectors differ in dimension")
+            x, new = v.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1), []
+            for i in range(0, len(q), 128):
+                d = distances(q[i : i + 128], x, metric)
+                most = np.fmin(np.partition(d, k - 1, axis=1)[:, k - 1] if k < d.shape[1] else np.inf, far[i : i + 128])
+                own, row = np.nonzero(~(d > most[:, None]))  # with NaN, which is above all numbers
+                order = np.lexsort((b.column(tie).to_numpy(zero_copy_only=False)[row] if tie else row, d[own, row], own))
+                order = order[_places(own[order]) < k]
+                new.append((own[order] + i, row[order], d[own[order], row[order]]))
+            own, row, d = (np.concatenate(y) for y in zip(*new, strict=True))
+            fresh = pa.Table.from_batches([b]).take(pa.array(row)).append_column("_query", pa.array(own)).append_column("_distance", pa.array(d))
+            held = fresh if held is None else pa.concat_tables([held, fresh])
+            own, d = held.column("_query").to_numpy(), held.column("_distance").to_numpy()
+            order = np.lexsort((held.column(tie).to_numpy() if tie else np.arange(len(d)), d, own))
+            place = _places(own[order])
+            held = held.take(pa.array(order[place < k]))
+            last = order[place == k - 1]
+            far[own[last]] = d[last]
+        if held is not None:
+            at = pa.array(held.column("_query").to_numpy() + start)
+            yield from held.set_column(held.schema.get_field_index("_query"), "_query", at).to_batches()
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("_query", LongType()), StructField("_distance", DoubleType())]))
+
+
+def _places(sorted_: np.ndarray) -> np.ndarray:
+    """The place of each item among its equals."""
+    return np.arange(len(sorted_)) - np.searchsorted(sorted_, sorted_)
+
+
 #: The distances as SQL text of two operands. The engine writes them out, as Spark has its own SQL functions not in every clause.
 _DOT = "aggregate(zip_with({a}, {b}, (x, y) -> double(x) * double(y)), 0D, (s, v) -> s + v)"
 _SAME = "if(size({a}) <> size({b}), raise_error('vectors differ in dimension'), {body})"
@@ -99,10 +185,6 @@ def cosine_topk(t: Tables) -> DataFrame:
     return search(t.embeddings, "embedding", _query(), 10, "cosine", "vec_id").select("vec_id", F.round("_distance", 3).alias("d"))
 
 
-#: Query vectors of a block, which is sent to every scan task.
-QUERY_ROWS = 4096
-
-
 def nearest(df: DataFrame, key: str, column: str, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, key, rn): for each row of ``queries`` (query_id, q) the k nearest rows by L2 in double precision, itself excepted; ties by key.
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from millrace.engine import Engine, TenantSession
 from millrace.errors import AlreadyExists, CommitConflict, Denied, EngineError, InvalidLiteral, NotFound, TooMany
-from millrace.functions.vectors import _query, search
+from millrace.functions.vectors import _query, search_many
 from millrace.plans.registry import Tables, query
 from millrace.plans.rest import as_json, rest_delete, rest_error, rest_insert, rest_select, rest_update
 from millrace.sources.files import fresh_dir
@@ -448,15 +449,13 @@ def vector_index_recall(t: Tables) -> DataFrame:
     s.execute("CREATE TABLE v (id BIGINT NOT NULL, e vector(64))")
     s.write("v", t.embeddings.where("vec_id % 3 < 2").selectExpr("vec_id id", "embedding e").repartition(2, "id"))
     enough = 0
-    asked = [(r.vec_id, [float(x) for x in r.embedding]) for r in t.embeddings.where("vec_id % 500 = 0").collect()]
+    asked = [[float(x) for x in r.embedding] for r in t.embeddings.where("vec_id % 500 = 0").collect()]
     for metric in ("l2", "cosine", "dot"):
         s.create_index("v", "e", metric)
     s.write("v", t.embeddings.where("vec_id % 3 = 2").selectExpr("vec_id id", "embedding e").coalesce(1))
     for metric in ("l2", "cosine", "dot"):
-        hit = 0
-        for _, q in asked:
-            far = max(r._distance for r in search(s.table("v"), "e", q, 10, metric, "id").collect())
-            hit += len({r.id for r in s.vector_search("v", "e", q, 10, metric).collect() if r._distance <= far})
+        far = search_many(s.table("v"), "e", asked, 10, metric, "id").groupBy("_query").agg(F.max("_distance").alias("far"))
+        hit = s.vector_search_many("v", "e", asked, 10, metric).join(far, "_query").where("_distance <= far").select("_query", "id").distinct().count()
         enough += hit >= 0.9 * 10 * len(asked)
     return t.spark.createDataFrame([(len(asked), enough == 3, 3)], "queries long, enough boolean, metrics long")
 

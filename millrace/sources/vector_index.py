@@ -5,7 +5,7 @@ list is a row of Parquet: file, list, centroid, radius (the farthest of its vect
 vectors. A header (JSON, created once and whole) names an index build's metric, dimension, folder and segments. A search ranks each
 segment's lists by their centroids, reads the nearest PROBES share of them, keeps the k best of each task and merges them. Then it reads
 every other list that by the triangle inequality may hold a vector nearer than the k-th of these, so that what it finds are the k nearest; vectors
-that form no groups leave few lists out. Data files without a segment are scanned, so a table is searched as a whole whether or not
+that form no groups leave few lists out. Each of many queries has its own lists, but ASKED of them go through the segments together. Data files without a segment are scanned, so a table is searched as a whole whether or not
 its last writes are indexed. Rows are read back by position.
 
 Null vectors are in no list. Lists without a radius (version 1) or with components that aren't finite are always read. Which of several rows at the
@@ -33,6 +33,8 @@ MAGIC, VERSION = "millrace-lists", 2
 #: Vectors that a segment's centroids are trained on, rounds of k-means, most lists of a segment, and the share of lists that a search reads first.
 TRAIN, ROUNDS, MOST_LISTS, PROBES = 16_384, 6, 4096, 0.4
 _ROWS = "file string, list int, centroid array<float>, positions binary, data binary, radius double"
+#: Queries that go through the lists together.
+ASKED = 1024
 #: Share by which bounds are widened, far above the rounding of doubles.
 SLACK = 1e-9
 
@@ -57,24 +59,15 @@ def _exact(x: np.ndarray, metric: str) -> np.ndarray:
     return x / np.where(n == 0, 1, n) if metric == "cosine" else x
 
 
-def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
-    """The lower the nearer, in double precision; ordered as the distances of ``vectors``."""
-    x = x.astype(np.float64)
-    if metric == "l2":
-        return ((x - q) ** 2).sum(axis=1)
-    return -(x @ q) / (np.maximum(np.linalg.norm(x, axis=1) * np.linalg.norm(q), vectors.EPSILON) if metric == "cosine" else 1.0)
-
-
 def _bounds(q: np.ndarray, c: np.ndarray, radius: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
-    """Scores of centroids, and those that no vector within their radius is below (NaN: unknown)."""
-    c = c.astype(np.float64)
+    """For each query distances of centroids, and those that no vector within their radius is below (NaN: unknown)."""
     if metric == "l2":
-        far = np.sqrt(((c - q) ** 2).sum(axis=1))
-        return far**2, np.maximum(far - radius - SLACK * (far + radius), 0.0) ** 2
-    q = _exact(q[None, :], metric)[0]
-    n, dots = np.linalg.norm(q), c @ q
-    low = -dots - n * radius - SLACK * n * (np.linalg.norm(c, axis=1) + radius)
-    return -dots, np.minimum(low, 0.0) if metric == "cosine" else low  # the least denominator of the cosine draws small vectors to 0
+        far = vectors.distances(q, c, metric)
+        return far, np.maximum(far - radius - SLACK * (far + radius), 0.0)
+    q = _exact(q, metric)
+    n, dots = np.linalg.norm(q, axis=1)[:, None], -vectors.distances(q, c, "dot")
+    low = -dots - n * radius - SLACK * n * (np.linalg.norm(c.astype(np.float64), axis=1) + radius)
+    return -dots, 1 + np.minimum(low, 0.0) if metric == "cosine" else low  # the least denominator of the cosine draws small vectors to 0
 
 
 def _assign(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -134,52 +127,74 @@ def builds(files: Files, table_dir: str, column: str | None = None) -> list[Buil
     return out
 
 
-def hits(spark: SparkSession, found: list[Build], data: list[DataFile], query: list[float], k: int, metric: str, probes: float | None = None) -> tuple[list[tuple[str, int]] | None, list[DataFile]]:
-    """(file, at) of the k nearest rows of the segments, and the data files that no segment covers. ``probes`` is the share of lists read first."""
+def hits(spark: SparkSession, found: list[Build], data: list[DataFile], queries: list[list[float]], k: int, metric: str, probes: float | None = None) -> tuple[list[tuple[int, str, int]] | None, list[DataFile]]:
+    """(query's place, file, at) of the k nearest rows of the segments for each query, and the data files that no segment covers. ``probes`` is the share of lists read first."""
     found = [b for b in found if b.metric == metric]
     paths = {located(f.path)[1]: f for f in data}
     covered = {located(p)[1] for b in found for p in b.files} & set(paths)
     if not covered:
         return None, data
-    q = np.array(query, np.float64)
-    share = PROBES if probes is None else probes
-
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                c, radius = np.array(b.column("centroid").to_pylist(), np.float32), np.array(b.column("radius").to_pylist(), np.float64)
-                yield pa.RecordBatch.from_arrays([b.column("file"), b.column("list"), *map(pa.array, _bounds(q, c, radius, metric))], ["file", "list", "d", "low"])
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[tuple[float, str, int]] = []
-        for b in batches:
-            for file, at, data in zip(b.column("file").to_pylist(), b.column("positions").to_pylist(), b.column("data").to_pylist(), strict=True):
-                d = _scores(q, np.frombuffer(data, np.float32).reshape(-1, len(q)), metric)
-                own = np.argsort(d, kind="stable")[:k]
-                best += [(float(d[i]), file, int(x)) for i, x in zip(own, np.frombuffer(at, "<i8")[own], strict=True)]
-            best = sorted(best, key=_order)[:k]
-        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in best], t) for j, t in enumerate((pa.float64(), pa.string(), pa.int64()))], ["d", "file", "at"])
-
     index = spark.read.schema(_ROWS).parquet(*(b.path for b in found))
     if len(covered) < sum(len(b.files) for b in found):  # segments of files that the snapshot no longer has
         live = spark.createDataFrame([(p,) for p in sorted(covered)], "live string")
         index = index.join(F.broadcast(live), F.regexp_replace("file", "^[A-Za-z0-9+.-]+:(//[^/]*)?/*", "/") == F.col("live"), "left_semi")
-
-    def best_of(chosen: DataFrame) -> list[tuple[float, str, int]]:
-        got = index.join(chosen, ["file", "list"], "left_semi").select("file", "positions", "data").mapInArrow(rows, "d double, file string, at long")
-        return [tuple(r) for r in got.orderBy("d", "file", "at").limit(k).collect()]  # k rows at most
-
-    # each segment keeps the nearest share of its lists: a scan of centroids alone, then one of the chosen lists
-    near = index.select("file", "list", "centroid", "radius").mapInArrow(lists, "file string, list int, d double, low double")
-    per = near.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("d", "list", "low"))).alias("c"))  # at most MOST_LISTS a file
-    first = F.greatest(F.lit(1), F.ceil(F.size("c") * share).cast("int"))
-    best = best_of(per.select("file", F.explode(F.slice("c", 1, first)).alias("l")).select("file", "l.list"))
-    if share < 1 and k:  # the other lists, unless their bound is as far as the k-th found; NaN is above all numbers
-        rest = per.select("file", F.explode(F.slice("c", first + 1, F.size("c"))).alias("l")).select("file", "l.*")
-        if len(best) == k and best[-1][0] == best[-1][0]:
-            rest = rest.where(F.isnan("low") | (F.col("low") < best[-1][0]))
-        best = sorted(best + best_of(rest.select("file", "list")), key=_order)[:k]
-    return [(file, at) for _, file, at in best], [f for p, f in paths.items() if p not in covered]
+    out: list[tuple[int, str, int]] = []
+    for i in range(0, len(queries) if k else 0, ASKED):
+        q = np.array(queries[i : i + ASKED], np.float64)
+        out += [(i + own, file, at) for own, best in enumerate(_block(index, q, k, metric, PROBES if probes is None else probes)) for _, file, at in best]
+    return out, [f for p, f in paths.items() if p not in covered]
+
+
+def _block(index: DataFrame, q: np.ndarray, k: int, metric: str, share: float) -> list[list[tuple[float, str, int]]]:
+    """The k nearest (distance, file, at) of each query of a block, by at most two passes over the lists for all of them together."""
+
+    def asked(far: np.ndarray | None):
+        """Of a file's lists those that queries read, with the queries: the nearest share, or with the distances of their k-th rows those of the others that may hold a nearer one."""
+
+        def run(t: pa.Table) -> pa.Table:
+            t = t.sort_by("list")
+            d, low = _bounds(q, np.array(t.column("centroid").to_pylist(), np.float32), np.array(t.column("radius").to_pylist(), np.float64), metric)
+            read = np.zeros(d.shape, bool)
+            np.put_along_axis(read, np.argsort(d, axis=1, kind="stable")[:, : max(1, math.ceil(d.shape[1] * share))], True, 1)
+            if far is not None:
+                read = ~read & ~(low >= far[:, None])  # NaN: unknown
+            kept = np.flatnonzero(read.any(axis=0))
+            own = pa.array([np.flatnonzero(read[:, j]) for j in kept], pa.list_(pa.int32()))
+            return t.select(["file", "list"]).take(pa.array(kept)).append_column("asked", own)
+
+        return index.select("file", "list", "centroid", "radius").groupBy("file").applyInArrow(run, "file string, list int, asked array<int>")  # at most MOST_LISTS a file
+
+    def best_of(chosen: DataFrame, far: np.ndarray) -> list[list[tuple[float, str, int]]]:
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: dict[int, list[tuple[float, str, int]]] = {}
+            most = far.copy()
+            for b in batches:
+                for file, at, data, own in zip(b.column("file").to_pylist(), b.column("positions").to_pylist(), b.column("data").to_pylist(), b.column("asked").to_pylist(), strict=True):
+                    own, at, x = np.array(own), np.frombuffer(at, "<i8"), np.frombuffer(data, np.float32).reshape(-1, q.shape[1])
+                    for i in range(0, len(own), 128):
+                        some = own[i : i + 128]
+                        d = vectors.distances(q[some], x, metric)
+                        for j in np.flatnonzero(~(d.min(axis=1) > most[some])):
+                            near = np.argsort(d[j], kind="stable")[:k]
+                            new = best.get(n := int(some[j]), []) + [(float(d[j, p]), file, int(at[p])) for p in near]
+                            best[n] = new = sorted(new, key=_order)[:k]
+                            if len(new) == k:
+                                most[n] = np.fmin(far[n], new[-1][0])
+            flat = [(n, *r) for n, own in best.items() for r in own]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in flat], t) for j, t in enumerate((pa.int32(), pa.float64(), pa.string(), pa.int64()))], ["_query", "_distance", "file", "at"])
+
+        got = index.join(chosen, ["file", "list"]).select("file", "positions", "data", "asked").mapInArrow(rows, "_query int, _distance double, file string, at long")
+        out: list[list[tuple[float, str, int]]] = [[] for _ in q]
+        for r in vectors.nearest_each(got, k, "file", "at").collect():  # k rows a query at most
+            out[r[0]].append(tuple(r[1:]))
+        return [sorted(x, key=_order) for x in out]
+
+    best = best_of(asked(None), np.full(len(q), np.inf))
+    if share < 1:
+        far = np.array([x[-1][0] if len(x) == k else np.nan for x in best])
+        more = best_of(asked(far), np.where(np.isnan(far), np.inf, far))
+        best = [sorted(a + b, key=_order)[:k] for a, b in zip(best, more, strict=True)]
+    return best
 
 
 def _order(hit: tuple[float, str, int]) -> tuple:
@@ -187,13 +202,13 @@ def _order(hit: tuple[float, str, int]) -> tuple:
     return (hit[0] != hit[0], 0.0 if hit[0] != hit[0] else hit[0], *hit[1:])
 
 
-def read_back(spark: SparkSession, schema, data: list[DataFile], at: list[tuple[str, int]]) -> DataFrame:
-    """Rows of data files by their positions (file, at); only files that have one are read."""
-    paths = {located(p)[1] for p, _ in at}
+def read_back(spark: SparkSession, schema, data: list[DataFile], at: list[tuple[int, str, int]]) -> DataFrame:
+    """Rows of data files by their positions (query's place, file, at), with _query; only files that have one are read."""
+    paths = {located(p)[1] for _, p, _ in at}
     files = [f.path for f in data if located(f.path)[1] in paths]
     if not files:
-        return spark.createDataFrame([], schema)
-    places = spark.createDataFrame(at, "_file string, _at long")  # as many as were asked for
+        return spark.createDataFrame([], schema).withColumn("_query", F.lit(0).cast("long"))
+    places = spark.createDataFrame(at, "_query long, _file string, _at long")  # as many as were asked for
     rows = spark.read.schema(schema).parquet(*files).select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row"))
-    rows = rows.where(F.col("_row").isin(sorted({i for _, i in at}))) if len(at) <= 1000 else rows
-    return rows.join(F.broadcast(places), (F.col("_path") == F.col("_file")) & (F.col("_row") == F.col("_at")), "left_semi").drop("_path", "_row")
+    rows = rows.where(F.col("_row").isin(sorted({i for *_, i in at}))) if len(at) <= 1000 else rows
+    return rows.join(F.broadcast(places), (F.col("_path") == F.col("_file")) & (F.col("_row") == F.col("_at"))).drop("_path", "_row", "_file", "_at")

@@ -6,8 +6,8 @@ import pytest
 from millrace.catalog import DataFile
 from millrace.engine import Engine, Rate
 from millrace.errors import AlreadyExists, CommitConflict, InvalidIdent, InvalidLiteral, InvalidSchema, IsolationViolation, NotFound, Unsupported
-from millrace.functions.vectors import search
-from millrace.plans import predicates, sqltext
+from millrace.functions.vectors import search, search_many
+from millrace.plans import catalogue, predicates, sqltext
 from millrace.plans.rest import as_json, rest_delete, rest_insert, rest_select, rest_update
 from millrace.sources.files import fresh_dir
 
@@ -278,6 +278,57 @@ def test_vector_index_finds_the_nearest(engine, metric):
         assert [r._distance for r in got] == pytest.approx(want, abs=1e-12) and len({r.id for r in got}) == len(want)
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine", "dot"])
+def test_vector_search_many(engine, metric):
+    """Many queries at once find what each finds alone, by the index, beside it and without one; a scan gives the doubles of the column forms."""
+    s = engine.session("t1")
+    s.execute("CREATE TABLE v (id BIGINT NOT NULL, e vector(16))")
+    x = np.random.default_rng(4).normal(size=(700, 16)).astype(np.float32)
+    x[:3], x[3:6], x[6:30] = 0, x[3:6] * np.float32(1e-9), x[30]
+    frame = engine.spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, e array<float>")
+    asked = [[float(y) for y in x[i]] for i in (5, 30, 31, 0, 699)]
+    s.write("v", frame.where("id < 600").repartition(2, "id"))
+    s.execute("INSERT INTO v VALUES (1000, NULL)")
+    for step in ("no index", "index", "another file", "tail", "changed"):
+        if step == "index":
+            s.create_index("v", "e", metric)
+        elif step == "another file":
+            s._index_added = lambda *_: None  # a writer that doesn't index
+            s.write("v", frame.where("id >= 600 and id < 690"))
+        elif step == "tail":
+            s.append_log("v", [{"id": i, "e": x[i].tolist()} for i in range(690, 700)])
+        elif step == "changed":
+            s.execute("DELETE FROM v WHERE id % 7 = 3")
+        for k in (1, 10, 2000) if step == "tail" else (10,):
+            got = s.vector_search_many("v", "e", asked, k, metric).collect()
+            scan = search_many(s.table("v"), "e", asked, k, metric, "id").collect()
+            for n, q in enumerate(asked):
+                want = [(r.id, r._distance) for r in search(s.table("v"), "e", q, k, metric, "id").collect()]
+                one = sorted((r._distance, r.id) for r in scan if r._query == n)
+                assert [i for _, i in one] == [i for i, _ in want] or metric == "cosine"  # where the query's norm is summed in another way
+                assert [d for d, _ in one] == pytest.approx([d for _, d in want], abs=1e-12)
+                own = sorted((r._distance, r.id) for r in got if r._query == n)
+                assert [d for d, _ in own] == [d for d, _ in one] and len({i for _, i in own}) == len(want)
+    assert s.vector_search_many("v", "e", [], 5, metric).count() == 0 and search_many(s.table("v"), "e", [], 5, metric).count() == 0
+    with pytest.raises(InvalidLiteral):
+        s.vector_search_many("v", "e", [[0.0], asked[0]], 2, metric)
+
+
+def test_recall_takes_as_many_jobs_for_more_queries(spark, tmp_path):
+    """The queries go through index and table together: ten of them take the jobs that one takes."""
+    x = np.random.default_rng(6).normal(size=(5000, 64)).astype(np.float32)
+    jobs = []
+    for rows in (500, 5000):
+        folder = f"{tmp_path}/{rows}"
+        spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x[:rows])], "vec_id long, embedding array<float>, label int").repartition(2).write.parquet(f"{folder}/embeddings.parquet")
+        spark.sparkContext.setJobGroup(folder, "recall")
+        got = catalogue.queries()["vector_index_recall"](spark, folder).first()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(folder)))
+        assert tuple(got) == (rows // 500, True, 3)
+    spark.sparkContext._jsc.clearJobGroup()
+    assert jobs[1] < 1.5 * jobs[0]
+
+
 def test_rewriting_skips_strings_and_comments():
     sql = "SELECT '<->', \"a<->b\" /* <-> */ FROM t -- <=>"
     assert sqltext.rewrite_vectors(sql) == sql
